@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, quality, sharding
 
 QUERIES = {
     "op3_rendezvous_sharding": sharding.op3_rendezvous_sharding,
+    "op7_quality_cascade": quality.op7_quality_cascade,
     "op9_mixing": mixing.op9_mixing,
 }
 
 ORACLE_SQL = {
+    "op7_quality_cascade": quality.SQL,
     "op9_mixing": mixing.SQL,
 }
