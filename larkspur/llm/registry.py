@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding
+from . import mixing, quality, sharding, simhash
 
 QUERIES = {
     "op3_rendezvous_sharding": sharding.op3_rendezvous_sharding,
     "op7_quality_cascade": quality.op7_quality_cascade,
+    "op8_simhash": simhash.op8_simhash,
     "op9_mixing": mixing.op9_mixing,
 }
 
