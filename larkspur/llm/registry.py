@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding, simhash
+from . import mixing, quality, sharding, simhash, substrings
 
 QUERIES = {
     "op3_rendezvous_sharding": sharding.op3_rendezvous_sharding,
+    "op5_super_kmers": substrings.op5_super_kmers,
     "op7_quality_cascade": quality.op7_quality_cascade,
     "op8_simhash": simhash.op8_simhash,
     "op9_mixing": mixing.op9_mixing,
 }
 
 ORACLE_SQL = {
+    "op5_super_kmers": substrings.SQL,
     "op7_quality_cascade": quality.SQL,
     "op9_mixing": mixing.SQL,
 }
