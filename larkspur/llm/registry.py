@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding, simhash, substrings
+from . import mixing, neighbours, quality, sharding, simhash, substrings, toxicity
 
 QUERIES = {
+    "op2_toxicity_factors": toxicity.op2_toxicity_factors,
     "op3_rendezvous_sharding": sharding.op3_rendezvous_sharding,
     "op5_super_kmers": substrings.op5_super_kmers,
     "op7_quality_cascade": quality.op7_quality_cascade,
     "op8_simhash": simhash.op8_simhash,
     "op9_mixing": mixing.op9_mixing,
+    "op10_block_neighbours": neighbours.op10_block_neighbours,
 }
 
 ORACLE_SQL = {
     "op5_super_kmers": substrings.SQL,
     "op7_quality_cascade": quality.SQL,
     "op9_mixing": mixing.SQL,
+    "op10_block_neighbours": neighbours.SQL,
 }
