@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, neighbours, quality, sharding, simhash, substrings, toxicity
+from . import mixing, neighbours, quality, sharding, simhash, substrings, token_shards, toxicity, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op2_toxicity_factors": toxicity.op2_toxicity_factors,
     "op3_rendezvous_sharding": sharding.op3_rendezvous_sharding,
+    "op4_token_shards": token_shards.op4_token_shards,
     "op5_super_kmers": substrings.op5_super_kmers,
     "op7_quality_cascade": quality.op7_quality_cascade,
     "op8_simhash": simhash.op8_simhash,
@@ -15,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_warc": warc.SQL,
     "op5_super_kmers": substrings.SQL,
     "op7_quality_cascade": quality.SQL,
     "op9_mixing": mixing.SQL,
