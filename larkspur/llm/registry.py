@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, neighbours, quality, sharding, simhash, substrings, token_shards, toxicity, warc
+from . import mixing, neighbours, pieces, quality, sharding, simhash, substrings, token_shards, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_rendezvous_sharding": sharding.op3_rendezvous_sharding,
     "op4_token_shards": token_shards.op4_token_shards,
     "op5_super_kmers": substrings.op5_super_kmers,
+    "op6_gumbel_pieces": pieces.op6_gumbel_pieces,
     "op7_quality_cascade": quality.op7_quality_cascade,
     "op8_simhash": simhash.op8_simhash,
     "op9_mixing": mixing.op9_mixing,
