@@ -52,7 +52,7 @@ HOT_SHARE = 1 / 1000
 BUCKET_WINDOWS = 600_000
 MOST_PARTITIONS = 20_000
 #: Bytes of strings that a task holds before it sends them.
-FLUSH_BYTES = 48 << 20
+FLUSH_BYTES = 32 << 20
 
 
 def super_kmers(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
