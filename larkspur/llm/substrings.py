@@ -9,13 +9,14 @@ windows are sorted by a hash, windows with equal hashes are compared word by
 word, and each distinct window gets the smallest doc_id it starts in.
 
 Three readings of the documents, each a pure function of its input split:
-1. totals, and the minimisers that hold more than a thousandth of all strings;
+1. totals, and the hot minimisers: those with a ten-thousandth of all strings
+   and more of them than a bucket should take;
 2. packed strings to the buckets (equal strings of a task travel once);
 3. keys of the strings of each document, joined with what the buckets found.
 Then each document meets its found windows once, to drop the covered words.
 
 Hot groups: the strings of a hot minimiser are cut to single windows, each
-sent by its own hash, so they spread; there are at most 2,000 hot minimisers,
+sent by its own hash, so they spread; there are at most 20,000 hot minimisers,
 which is what is broadcast.  Strings that many documents share are joined by
 key, which AQE splits when skewed.
 
@@ -46,8 +47,9 @@ WINDOW = 50
 GRAM = 8
 #: A super-k-mer is cut after so many windows, so that a bit of a long stands for each.
 MOST_WINDOWS = 64
-#: A minimiser with at least this share of all strings is hot; half of it is looked for in each task.
-HOT_SHARE = 1 / 1000
+#: A minimiser with at least this share of all strings, and so many of them, is hot; half of the share is looked for in each task.
+HOT_SHARE = 1 / 10_000
+HOT_STRINGS = 20_000
 #: Windows to a bucket, and the most partitions that buckets are dealt to.
 BUCKET_WINDOWS = 600_000
 MOST_PARTITIONS = 20_000
@@ -137,7 +139,7 @@ def survey(docs: DataFrame, window: int = WINDOW) -> tuple[int, list[int]]:
     total = sums.filter("key IS NULL").first()
     if total is None:
         return 0, []
-    least = max(2, total["strings"] * HOT_SHARE / 2)
+    least = max(HOT_STRINGS, total["strings"] * HOT_SHARE / 2)
     return total["windows"], [r["key"] & MASK for r in sums.filter(F.col("key").isNotNull() & (F.col("strings") >= least)).collect()]
 
 

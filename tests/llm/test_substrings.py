@@ -56,6 +56,7 @@ def test_passages_equal_brute_force(spark, seed, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     if seed == 2:  # every minimiser is hot, and there are many buckets
         monkeypatch.setattr(s, "HOT_SHARE", 1e-9)
+        monkeypatch.setattr(s, "HOT_STRINGS", 1)
         monkeypatch.setattr(s, "BUCKET_WINDOWS", 100)
         assert s.survey(docs)[1]
     want = digest(brute(rows))
