@@ -39,6 +39,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .common import materialise, table
 from .words import MASK, Hashes, covered, hash_words, mixed, ship, sliding_min, split, windows
@@ -377,54 +378,72 @@ def removed_words(n: int, spans: list[dict] | None, window: int = WINDOW) -> np.
     return covered(np.unique(first[row] + bit), window, n)
 
 
-def _with_spans(docs: DataFrame, window: int, columns: list) -> DataFrame:
-    """columns, _text, _spans: each row of docs beside its repeated windows; only the spans' side is hashed into memory."""
+def _with_spans(docs: DataFrame, window: int) -> DataFrame:
+    """The columns of docs as a struct, and the repeated windows of each row.
+
+    Texts cross the shuffle compressed, as binary; only the side of the spans is hashed into memory.
+    """
     spans = repeats(docs, window).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark_r"), F.col("spans").alias("_spans"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("_left"), F.xxhash64("text").alias("_mark"), *columns)
+    own, at = docs.columns, docs.columns.index("text")
+    names, schema = ["_left", "_mark", "_row"], StructType([StructField("_left", LongType()), StructField("_mark", LongType()), StructField("_row", StructType([StructField(f.name, BinaryType()) if i == at else f for i, f in enumerate(docs.schema)]))])
+
+    def squeeze(batches):
+        zip_ = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            columns = batch.column(2).flatten()
+            columns[at] = pa.array([None if x is None else zip_.compress(x.encode("utf-8", "surrogatepass")) for x in columns[at].to_pylist()], pa.binary())
+            row = pa.StructArray.from_arrays(columns, names=own)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), row], names=names)
+
+    row = F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row")
+    rows = docs.select(F.col("doc_id").cast("long").alias("_left"), F.xxhash64("text").alias("_mark"), row).mapInArrow(squeeze, schema)
     on = (F.col("_left") == F.col("_id")) & (F.col("_mark") == F.col("_mark_r"))
-    return rows.join(spans.hint("shuffle_hash"), on, "left").drop("_left", "_mark", "_id", "_mark_r")
+    return rows.join(spans.hint("shuffle_hash"), on, "left").select("_row", "_spans")
+
+
+def _expanded(column: pa.Array) -> list[bytes]:
+    unzip = zstandard.ZstdDecompressor()
+    return [unzip.decompress(x) if x is not None else None for x in column.to_pylist()]
 
 
 def removal_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
-    joined = _with_spans(docs, window, [F.col("doc_id"), F.col("text").alias("_text")])
+    docs = docs.select("doc_id", "text")
 
     def run(batches):
         for batch in batches:
             rows = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = split(text)
+            ids, texts = batch.column(0).flatten()
+            for text, spans in zip(_expanded(texts), batch.column(1).to_pylist(), strict=True):
+                words = text.split() if text else []
                 gone = removed_words(len(words), spans, window)
                 n = int(gone.sum())
                 kept = words if n == 0 else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 rows.append((len(words), n, hashlib.sha256(b" ".join(kept)).hexdigest()))
             n_words, n_removed, sha = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.select("doc_id", "_text", "_spans").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    return _with_spans(docs, window).mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the covered words: a text that loses words becomes its kept words, joined by one space."""
-    names = docs.columns
-    mine = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")
-    joined = _with_spans(docs, window, [mine])
-    at = names.index("text")
+    names, at = docs.columns, docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
             columns = batch.column(0).flatten()
-            texts = columns[at].to_pylist()
+            texts = _expanded(columns[at])
             for i, spans in enumerate(batch.column(1).to_pylist()):
                 if spans:
-                    words = split(texts[i])
+                    words = texts[i].split()
                     gone = removed_words(len(words), spans, window).tolist()
-                    texts[i] = b" ".join(w for w, g in zip(words, gone, strict=True) if not g).decode("utf-8", "surrogatepass")
-            columns[at] = pa.array(texts, columns[at].type)
+                    texts[i] = b" ".join(w for w, g in zip(words, gone, strict=True) if not g)
+            columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.select("_row", "_spans").mapInArrow(run, docs.schema)
+    return _with_spans(docs, window).mapInArrow(run, docs.schema)
 
 
 def op5_super_kmers(spark, sf_dir: str) -> DataFrame:
