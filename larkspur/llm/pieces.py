@@ -493,7 +493,7 @@ def sample_documents(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, with_i
                 for i, s in enumerate(found):
                     ids = group.ids(s.edges)
                     rows.append((key, i + 1, len(ids), zlib.crc32(ids.tobytes()), s.log_prob, s.log_inclusion, decode_bytes(ids, voc) == raw, *([ids.astype(np.int32)] if with_ids else [])))
-                if len(rows) >= 2000:
+                if len(rows) >= (500 if with_ids else 2000):
                     yield _rows(rows, kind, with_ids)
                     rows = []
             if rows:

@@ -2,37 +2,38 @@
 
 Documents are tokenised (byte-level BPE, two bytes an id) and cut into
 sequences of at most SEQUENCE ids, the last one ended by the end-of-text id.
-Sequences are numbered from 0; a keyed Feistel network, walked along its cycle
-until it falls below the number of sequences, permutes the numbers into global
-slots.  Shard s holds the slots from s * SHARD on, in order, a record of the
-same size each, so slot k is at a known place in a known file: a run can be
+A sequence's number comes from its document's id and its part.  A keyed
+Feistel network, walked along its cycle until it falls below the size of the
+numbers' domain, permutes the numbers.  Ranges of the permuted domain are the
+shards; within a shard sequences stand in permuted order, a record of the same
+size each.  Slots count the records of all shards in order, so they run from 0
+without gaps, and slot k is at a known place in a known file: a run can be
 resumed at any slot and reads on sequentially.
 
-Two readings of the documents: the first counts the sequences of each input
-split, the second tokenises again and sends each record straight to its shard
-(one shuffle, by shard).  Numbers follow the order of splits, so the splits of
-both readings must be alike: their number is pinned meanwhile, and a split
-whose second count differs from the first is an error, never a wrong file.
+The documents are read twice, first only for the span of ids and the lengths,
+and tokenised once; each record goes straight to its shard (one shuffle, by
+shard).  The order depends on the ids, the texts' lengths and the key alone,
+not on files, splits or executors.
 
 Record, little-endian: doc_id int64 (-2**63 for null), part int32, ids int32,
 then SEQUENCE uint16 ids, padded with 0.  File: records only.
 
 Defined results: a null or empty text is one sequence, the end-of-text id;
-repeated rows are sequences of their own; an empty table writes no shard and
-gives no rows; further columns are ignored.
+rows with equal ids stand side by side, by their records; an empty table
+writes no shard and gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
-import contextlib
+import math
 import os
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import filesystem, materialise, scratch, table
@@ -44,46 +45,26 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = 50256
 SEQUENCE = 256
+#: About so many records to a shard, at about so many bytes of text to an id.
 SHARD = 16_384
+BYTES_PER_ID = 2.5
 KEY = 0x5EED_0F_0DE5
 ROUNDS = 6
 NO_ID = -(2**63)
 
 
 class Tokenizer:
-    """Encodes texts to arrays of uint16; remembers the ids of up to `most` words.
+    """Encodes texts to arrays of uint16."""
 
-    No token of PATTERN goes on past a space that stands alone between two other
-    characters, so such a space can begin a part of its own.  Texts with other
-    white space next to a space are encoded as a whole.
-    """
-
-    def __init__(self, folder: str = TOKENIZERS, most: int = 300_000):
+    def __init__(self, folder: str = TOKENIZERS):
         import tiktoken
 
         with open(os.path.join(folder, VOCABULARY), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
         self._encoding = tiktoken.Encoding("bytes-50k", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._known: dict[str, bytes] = {}
-        self._most = most
-
-    def _ids(self, part: str) -> bytes:
-        return np.array(self._encoding.encode_ordinary(part), np.uint16).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        text = text.encode("utf-8", "replace").decode() if not text.isascii() else text
-        parts = text.split(" ")
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
-            return np.frombuffer(self._ids(text), np.uint16)
-        known, out = self._known, [self._ids(parts[0])]
-        for part in parts[1:]:
-            ids = known.get(part)
-            if ids is None:
-                if len(known) >= self._most:
-                    known.clear()
-                known[part] = ids = self._ids(" " + part)
-            out.append(ids)
-        return np.frombuffer(b"".join(out), np.uint16)
+        return np.array(self._encoding.encode_ordinary(text), np.uint16)
 
     def decode(self, ids) -> str:
         return self._encoding.decode([int(i) for i in ids])
@@ -113,60 +94,31 @@ def record_type(sequence: int = SEQUENCE) -> np.dtype:
     return np.dtype([("doc_id", "<i8"), ("part", "<i4"), ("n", "<i4"), ("ids", "<u2", (sequence,))])
 
 
-def _sequences(length: int, sequence: int) -> int:
-    return -(-(length + 1) // sequence)
-
-
-@contextlib.contextmanager
-def _pinned(spark: SparkSession):
-    """Keeps the number of input splits from following the number of executors."""
-    name = "spark.sql.files.minPartitionNum"
-    had = spark.conf.get(name, None)
-    if had is None:
-        spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
-    try:
-        yield
-    finally:
-        if had is None:
-            spark.conf.unset(name)
-
-
-def _split_id() -> int:
-    from pyspark import TaskContext
-
-    return TaskContext.get().partitionId()
-
-
 def write_shards(docs: DataFrame, folder: str, key: int = KEY, sequence: int = SEQUENCE, shard: int = SHARD, tokenizers: str = TOKENIZERS) -> DataFrame:
     """Write the shards below folder (URI); shard, first_slot, records, path of each."""
     spark = docs.sparkSession
     ship(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kind = record_type(sequence)
-
-    def count(batches):
-        tokenizer, n = Tokenizer(tokenizers), 0
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    least, most, longest, total = source.agg(F.min("doc_id"), F.max("doc_id"), F.max(size), F.sum(size)).first()
+    least, most, longest, total = least or 0, most or 0, longest or 0, total or 0
+    parts = longest // sequence + 1  # an id stands for a byte at least, and one ends the text
+    domain = (most - least + 2) * parts  # the last number of a document is that of null
+    if domain >= 1 << 62:
+        raise ValueError("doc_id spans too wide a range to be numbered")
+    n_shards = max(1, math.ceil(total / BYTES_PER_ID / sequence / shard))
+    width = -(-domain // n_shards)
+
+    def emit(batches):
+        tokenizer = Tokenizer(tokenizers)
         for batch in batches:
-            n += sum(_sequences(len(tokenizer.encode(x)) if x else 0, sequence) for x in batch.column(1).to_pylist())
-        yield pa.RecordBatch.from_pydict({"split": pa.array([_split_id()], pa.int64()), "n": pa.array([n], pa.int64())})
-
-    with _pinned(spark):
-        # a row for each input split
-        counts = dict(materialise(source.mapInArrow(count, "split long, n long"), "sequence-counts").collect())
-        total = sum(counts.values())
-        first, at = {}, 0
-        for s in sorted(counts):
-            first[s], at = at, at + counts[s]
-        n_shards = max(1, -(-total // shard))
-
-        def emit(batches):
-            tokenizer, split = Tokenizer(tokenizers), _split_id()
-            nth, end = first.get(split, 0), first.get(split, 0) + counts.get(split, 0)
-            for batch in batches:
-                records, rows = [], 0
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    ids = np.append(tokenizer.encode(text) if text else np.empty(0, np.uint16), np.uint16(END))
-                    k = _sequences(len(ids) - 1, sequence)
+            for some in range(0, batch.num_rows, 500):
+                part = batch.slice(some, 500)
+                records, numbers = [], []
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    ids = np.append(tokenizer.encode(text or ""), np.uint16(END))
+                    k = -(-len(ids) // sequence)
                     r = np.zeros(k, kind)
                     r["doc_id"], r["part"] = NO_ID if doc_id is None else doc_id, np.arange(k)
                     r["n"] = np.minimum(sequence, len(ids) - sequence * np.arange(k))
@@ -174,57 +126,44 @@ def write_shards(docs: DataFrame, folder: str, key: int = KEY, sequence: int = S
                     flat[: len(ids)] = ids
                     r["ids"] = flat.reshape(k, sequence)
                     records.append(r)
-                    rows += k
-                    if rows >= 10_000:
-                        yield _placed(records, nth)
-                        records, nth, rows = [], nth + rows, 0
-                if records:
-                    yield _placed(records, nth)
-                    nth += rows
-            if nth != end:
-                raise RuntimeError(f"input split {split} changed between its two readings: {nth - first.get(split, 0)} sequences, first {counts.get(split, 0)}")
-
-        def _placed(records, nth):
-            r = np.concatenate(records)
-            slot = feistel(np.arange(nth, nth + len(r)), total, key)
-            # what pads a record is left out on the way
-            sizes = 16 + 2 * r["n"].astype(np.int64)
-            raw = r.view(np.uint8).reshape(len(r), kind.itemsize)
-            body = raw[np.arange(kind.itemsize)[None, :] < sizes[:, None]]
-            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            return pa.RecordBatch.from_arrays(
-                [pa.array((slot // shard).astype(np.int32)), pa.array((slot % shard).astype(np.int32)), pa.BinaryArray.from_buffers(pa.binary(), len(r), [None, pa.py_buffer(offsets), pa.py_buffer(body.tobytes())])],
-                names=["shard", "place", "record"],
-            )
-
-        def write(batches):
-            fs, root = filesystem(folder)
-            fs.create_dir(root, recursive=True)
-            current, out, path, n = None, None, "", 0
-
-            def closed():
-                out.close()
-                if n != min(shard, total - current * shard):
-                    raise RuntimeError(f"shard {current} has {n} records")
-                return pa.RecordBatch.from_pydict({"shard": pa.array([current], pa.int32()), "first_slot": pa.array([current * shard], pa.int64()), "records": pa.array([n], pa.int64()), "path": [path]})
-
-            for batch in batches:
-                for s, place, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    if s != current:
-                        if out is not None:
-                            yield closed()
-                        current, n, path = s, 0, f"{folder}/shard-{s:06d}-{uuid.uuid4().hex}.bin"
-                        out = fs.open_output_stream(filesystem(path)[1], compression=None)
-                    if place != n:
-                        raise RuntimeError(f"slot {s * shard + n} is missing")
-                    out.write(record.ljust(kind.itemsize, b"\0"))
-                    n += 1
-            if out is not None:
-                yield closed()
-
-        tasks = min(n_shards, 20_000)
-        dealt = source.mapInArrow(emit, "shard int, place int, record binary").repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "place")
-        return materialise(dealt.mapInArrow(write, "shard int, first_slot long, records long, path string"), "shards")
+                    numbers.append((most - least + 1 if doc_id is None else doc_id - least) * parts + np.arange(k))
+                yield placed(np.concatenate(records), feistel(np.concatenate(numbers), domain, key))
+
+    def placed(r, at):
+        # what pads a record is left out on the way
+        sizes = 16 + 2 * r["n"].astype(np.int64)
+        raw = r.view(np.uint8).reshape(len(r), kind.itemsize)
+        body = raw[np.arange(kind.itemsize)[None, :] < sizes[:, None]]
+        offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+        rows = pa.BinaryArray.from_buffers(pa.binary(), len(r), [None, pa.py_buffer(offsets), pa.py_buffer(body.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array((at // width).astype(np.int32)), pa.array(at), rows], names=["shard", "at", "record"])
+
+    def write(batches):
+        fs, root = filesystem(folder)
+        fs.create_dir(root, recursive=True)
+        current, out, path, n = None, None, "", 0
+
+        def closed():
+            out.close()
+            return pa.RecordBatch.from_pydict({"shard": pa.array([current], pa.int32()), "records": pa.array([n], pa.int64()), "path": [path]})
+
+        for batch in batches:
+            for s, record in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if s != current:
+                    if out is not None:
+                        yield closed()
+                    current, n, path = s, 0, f"{folder}/shard-{s:06d}-{uuid.uuid4().hex}.bin"
+                    out = fs.open_output_stream(filesystem(path)[1], compression=None)
+                out.write(record.ljust(kind.itemsize, b"\0"))
+                n += 1
+        if out is not None:
+            yield closed()
+
+    tasks = min(n_shards, 20_000)
+    dealt = source.mapInArrow(emit, "shard int, at long, record binary").repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "at", "record")
+    written = materialise(dealt.mapInArrow(write, "shard int, records long, path string"), "shards")
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
+    return written.select("shard", F.coalesce(F.sum("records").over(before), F.lit(0)).alias("first_slot"), "records", "path")
 
 
 def read_from(path: str, place: int = 0, sequence: int = SEQUENCE, most: int = 4096):
