@@ -1 +1 @@
-"""See the modules of this package."""
+"""Operators that Spark lacks or spells otherwise, as builders of DataFrames."""

@@ -1 +1,10 @@
-"""See the modules of this package."""
+"""Queries over the test tables, one or more for each operator, and the DuckDB SQL they are held against."""
+
+from . import builders, catalogue, scalars
+
+QUERIES, ORACLE_SQL = catalogue.register()
+for _module in (builders, scalars):
+    if _twice := set(QUERIES) & set(_module.QUERIES):
+        raise ValueError(f"two queries named {_twice}")
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL

@@ -1 +1 @@
-"""See the modules of this package."""
+"""Reading and writing: COPY text and CSV, series, values."""
