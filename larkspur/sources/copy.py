@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NULL = "\\N"
+#: Stands for a quoted empty text while a file is read, so that it differs from null.
+EMPTY = "\u0001"
 TIMES = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
@@ -55,5 +57,6 @@ def write_csv(df: DataFrame, path: str, header: bool = True, delimiter: str = ",
 
 def read_csv(spark: SparkSession, path: str, schema: str, header: bool = True, delimiter: str = ",", null: str = "", on_error: str = "stop") -> DataFrame:
     """COPY ... FROM (FORMAT csv); on_error "ignore" drops rows that don't fit."""
-    options = {"header": header, "sep": delimiter, "quote": '"', "escape": '"', "multiLine": True, "nullValue": null, "emptyValue": "", "timestampFormat": TIMES, "timestampNTZFormat": TIMES, "enforceSchema": not header}
-    return spark.read.schema(schema).options(**options, mode="FAILFAST" if on_error == "stop" else "DROPMALFORMED").csv(path)
+    options = {"header": header, "sep": delimiter, "quote": '"', "escape": '"', "multiLine": True, "nullValue": null, "emptyValue": EMPTY, "timestampFormat": TIMES, "timestampNTZFormat": TIMES, "enforceSchema": not header}
+    df = spark.read.schema(schema).options(**options, mode="FAILFAST" if on_error == "stop" else "DROPMALFORMED").csv(path)
+    return df.select(*[F.when(F.col(c) == EMPTY, "").otherwise(F.col(c)).alias(c) if kind == "string" else F.col(c) for c, kind in df.dtypes])
