@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table
-from .words import ship
+from .words import lean, ship
 
 K = 20
 QUERY_EVERY = 20
@@ -97,7 +97,7 @@ def blocks(vectors: DataFrame, most: int | None = None) -> DataFrame:
             yield block(rows)
             nth += 1
 
-    return vectors.mapInArrow(run, "nth long, blob binary")
+    return vectors.mapInArrow(lean(run), "nth long, blob binary")
 
 
 class Quantised:
@@ -211,7 +211,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     dealt = q.unionByName(c).repartitionById(tiles, F.pmod("tile", F.lit(tiles)).cast("int")).sortWithinPartitions("tile", "kind")
     best = Window.partitionBy("query_id", "of").orderBy(F.col("score").desc(), "vec_id")
     return (
-        dealt.mapInArrow(run, "query_id long, of long, vec_id long, score double")
+        dealt.mapInArrow(lean(run), "query_id long, of long, vec_id long, score double")
         .withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")

@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .words import mixed, ship
+from .words import lean, mixed, ship
 
 TOKENIZERS = "/opt/tokenizers"
 MODEL = "piece_bpe_32k.model"
@@ -57,7 +57,7 @@ SAMPLES = 2
 SEED = 17
 ZIPF_SHIFT = 10.0
 #: Characters of text whose words are drawn together.
-GROUP_CHARS = 1_500_000
+GROUP_CHARS = 900_000
 #: No hashed exponential variable is below 2**-54, so no value exceeds its location by more.
 REACH = 38.0
 STEPS_AT_ONCE = 512
@@ -502,7 +502,7 @@ def sample_documents(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, with_i
     name = docs.schema["doc_id"].dataType.simpleString()
     kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
     schema = f"doc_id {name}, sample int, n_pieces long, ids_crc32 long, log_prob double, log_inclusion double, round_trip boolean" + (", ids array<int>" if with_ids else "")
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)
 
 
 def _rows(rows: list[tuple], kind: pa.DataType, with_ids: bool) -> pa.RecordBatch:

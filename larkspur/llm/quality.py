@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .words import Hashes, covered, hash_words, ship, split, windows
+from .words import Hashes, covered, hash_words, lean, ship, split, windows
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
-#: About so many documents, chosen by a hash of doc_id, are used to measure the rules.
+#: About so many documents, chosen by a hash of id and text, are used to measure the rules.
 SAMPLE_ROWS = 2_000
 
 
@@ -119,7 +119,7 @@ def measure(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> lis
     ship(docs.sparkSession)
     n = docs.count()
     one_in = max(1, n // sample_rows)
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select("text")
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(one_in)) == 0).select("text")
 
     def run(batches):
         known, spent, hit, seen = Hashes(), [0.0] * len(rules), [0] * len(rules), 0
@@ -133,7 +133,7 @@ def measure(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> lis
         if seen:
             yield pa.RecordBatch.from_pydict({"i": list(range(len(rules))), "seconds": spent, "rejected": hit, "seen": [seen] * len(rules)})
 
-    sums = sample.mapInArrow(run, "i long, seconds double, rejected long, seen long").groupBy("i").sum("seconds", "rejected", "seen").collect()
+    sums = sample.mapInArrow(lean(run), "i long, seconds double, rejected long, seen long").groupBy("i").sum("seconds", "rejected", "seen").collect()
     by = {r["i"]: r for r in sums}
     return [Measured(x.name, *(by[i][1:] if i in by else (0.0, 0, 0))) for i, x in enumerate(rules)]
 
@@ -166,7 +166,7 @@ def judge(docs: DataFrame, rules=RULES) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string")
 
 
 _NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"]
@@ -183,7 +183,7 @@ def filter_documents(docs: DataFrame, rules=RULES) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([first_rejection(Facts(x, known), ordered) is None for x in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op7_quality_cascade(spark, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 from .components import components
-from .words import ship
+from .words import lean, ship
 
 SEED = 42
 SHINGLE = 4
@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "mark", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, f"doc_id {kind}, mark long, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(lean(run), f"doc_id {kind}, mark long, fp long")
 
 
 def block_masks(radius: int, equal: int) -> list[int]:
@@ -281,7 +281,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFra
     else:
         keyed = keyed.select("t", "k", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).cast("long").alias("part"), "fp")
     ordered = keyed.repartition("t", "k", "a", "b").sortWithinPartitions("t", "k", "a", "b", "part")
-    return ordered.mapInArrow(lambda batches: _compare_groups(batches, 4), "u long, v long")
+    return ordered.mapInArrow(lean(lambda batches: _compare_groups(batches, 4)), "u long, v long")
 
 
 def marked_components(docs: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .common import materialise, table
-from .words import MASK, Hashes, covered, hash_words, mixed, ship, sliding_min, split, windows
+from .words import MASK, Hashes, covered, hash_words, lean, mixed, ship, sliding_min, split, windows
 
 WINDOW = 50
 GRAM = 8
@@ -135,7 +135,7 @@ def survey(docs: DataFrame, window: int = WINDOW) -> tuple[int, list[int]]:
             {"key": pa.array([None, *keys[heavy].view(np.int64).tolist()], pa.int64()), "strings": pa.array([len(every), *counts[heavy].tolist()], pa.int64()), "windows": pa.array([total, *[0] * int(heavy.sum())], pa.int64())}
         )
 
-    found = docs.filter("doc_id IS NOT NULL").select("text").mapInArrow(run, "key long, strings long, windows long")
+    found = docs.filter("doc_id IS NOT NULL").select("text").mapInArrow(lean(run), "key long, strings long, windows long")
     sums = materialise(found.groupBy("key").agg(F.sum("strings").alias("strings"), F.sum("windows").alias("windows")), "minimisers")
     total = sums.filter("key IS NULL").first()
     if total is None:
@@ -203,7 +203,7 @@ def _packed(docs: DataFrame, hot: list[int], buckets: int, window: int) -> DataF
         if held:
             yield from flush()
 
-    return docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "bucket long, blob binary")
+    return docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(lean(run), "bucket long, blob binary")
 
 
 def _slices(x: list, n: int):
@@ -238,7 +238,7 @@ def _instances(docs: DataFrame, hot: list[int], window: int) -> DataFrame:
                 )
 
     rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    return rows.mapInArrow(run, "k1 long, k2 long, doc_id long, mark long, first int")
+    return rows.mapInArrow(lean(run), "k1 long, k2 long, doc_id long, mark long, first int")
 
 
 def bucket_minima(entries, window: int = WINDOW):
@@ -344,7 +344,7 @@ def _resolve(packed: DataFrame, buckets: int, window: int) -> DataFrame:
             yield from done()
 
     dealt = packed.repartitionById(partitions, F.pmod(F.col("bucket"), F.lit(partitions)).cast("int")).sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "k1 long, k2 long, least array<long>")
+    return dealt.mapInArrow(lean(run), "k1 long, k2 long, least array<long>")
 
 
 def _chunks(it, n: int):
@@ -396,7 +396,7 @@ def _with_spans(docs: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), row], names=names)
 
     row = F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row")
-    rows = docs.select(F.col("doc_id").cast("long").alias("_left"), F.xxhash64("text").alias("_mark"), row).mapInArrow(squeeze, schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("_left"), F.xxhash64("text").alias("_mark"), row).mapInArrow(lean(squeeze), schema)
     on = (F.col("_left") == F.col("_id")) & (F.col("_mark") == F.col("_mark_r"))
     return rows.join(spans.hint("shuffle_hash"), on, "left").select("_row", "_spans")
 
@@ -424,7 +424,7 @@ def removal_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _with_spans(docs, window).mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    return _with_spans(docs, window).mapInArrow(lean(run), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -443,7 +443,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return _with_spans(docs, window).mapInArrow(run, docs.schema)
+    return _with_spans(docs, window).mapInArrow(lean(run), docs.schema)
 
 
 def op5_super_kmers(spark, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import filesystem, materialise, scratch, table
-from .words import ship
+from .words import lean, ship
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -160,8 +160,8 @@ def write_shards(docs: DataFrame, folder: str, key: int = KEY, sequence: int = S
             yield closed()
 
     tasks = min(n_shards, 20_000)
-    dealt = source.mapInArrow(emit, "shard int, at long, record binary").repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "at", "record")
-    written = materialise(dealt.mapInArrow(write, "shard int, records long, path string"), "shards")
+    dealt = source.mapInArrow(lean(emit), "shard int, at long, record binary").repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "at", "record")
+    written = materialise(dealt.mapInArrow(lean(write), "shard int, records long, path string"), "shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
     return written.select("shard", F.coalesce(F.sum("records").over(before), F.lit(0)).alias("first_slot"), "records", "path")
 
@@ -199,7 +199,7 @@ def read_shards(spark: SparkSession, shards: DataFrame, sequence: int = SEQUENCE
                     first += len(r)
 
     n = max(1, shards.count())
-    return shards.select("shard", "first_slot", "path").repartition(n).mapInArrow(run, "slot long, shard int, doc_id long, part int, n_tokens int, tokens_crc32 long")
+    return shards.select("shard", "first_slot", "path").repartition(n).mapInArrow(lean(run), "slot long, shard int, doc_id long, part int, n_tokens int, tokens_crc32 long")
 
 
 def op4_token_shards(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, table
-from .words import ship
+from .words import lean, ship
 
 #: At most so many labelled documents are trained on.
 TRAIN_ROWS = 20_000
@@ -165,7 +165,7 @@ def _labelled_slots(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([terms.of(x).astype(np.int32) for x in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=["label", "slots"])
 
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.col("label").cast("int").alias("label"), "text").mapInArrow(run, "label int, slots array<int>")
+    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.col("label").cast("int").alias("label"), "text").mapInArrow(lean(run), "label int, slots array<int>")
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
@@ -187,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
     on, off = F.col("on").cast("double"), F.col("off").cast("double")
     chi = F.pow(on * n0 - off * n1, F.lit(2.0)) * (n0 + n1) / ((on + off) * (n0 + n1 - on - off + 1.0) * max(1, n0 * n1))
     chosen = (
-        sample.mapInArrow(count, "slot long, off long, on long")
+        sample.mapInArrow(lean(count), "slot long, off long, on long")
         .groupBy("slot")
         .agg(F.sum("off").alias("off"), F.sum("on").alias("on"))
         .filter((F.col("on") + F.col("off") >= LEAST_DOCS) & (chi >= LEAST_CHI))
@@ -205,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
                 out.append(at[(at < len(slots)) & (slots[np.minimum(at, len(slots) - 1)] == found)].astype(np.int32) if len(slots) else np.empty(0, np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["label", "places"])
 
-    got = sample.mapInArrow(places, "label int, places array<int>").toArrow()
+    got = sample.mapInArrow(lean(places), "label int, places array<int>").toArrow()
     lists = got.column("places").combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
         lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
@@ -232,7 +232,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def op2_toxicity_factors(spark, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import filesystem, materialise, scratch, table, text_or_empty
-from .words import ship
+from .words import lean, ship
 
 #: A task starts another archive after so many compressed bytes.
 ARCHIVE_BYTES = 64 << 20
@@ -212,7 +212,7 @@ def write_archives(records: DataFrame, folder: str, level: int = 6) -> DataFrame
         if out is not None:
             yield closed()
 
-    written = records.select("page_id", "url", "html", "refers_to").mapInArrow(run, "path string, records long, bytes long")
+    written = records.select("page_id", "url", "html", "refers_to").mapInArrow(lean(run), "path string, records long, bytes long")
     return materialise(written, "archives")
 
 
@@ -241,7 +241,7 @@ def read_archives(spark: SparkSession, archives: DataFrame) -> DataFrame:
                     yield _batch(rows)
 
     n = max(1, archives.count())
-    return archives.select("path").repartition(n).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return archives.select("path").repartition(n).mapInArrow(lean(run), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 _TYPES = (("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()))

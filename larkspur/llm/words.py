@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import os
 import tempfile
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: Odd multiplier of the rolling sums over word hashes (the 64-bit golden ratio).
@@ -43,10 +45,28 @@ def ship(spark) -> None:
     spark.sparkContext.addPyFile(to)
 
 
+def lean(run):
+    """run (batches to batches) that hands memory back to the system when a task ends, so that reused workers stay small."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        _release()
+
+    return wrapped
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 class Hashes(dict):
     """XXH64 of a word (bytes); remembers up to `most` words, then starts anew."""
 
-    def __init__(self, seed: int = 0, most: int = 400_000):
+    def __init__(self, seed: int = 0, most: int = 200_000):
         super().__init__()
         self.seed, self.most = seed, most
 
