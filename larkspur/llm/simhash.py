@@ -1,24 +1,30 @@
 """SimHash near-duplicates by bit-sliced comparison.
 
-Fingerprints: 64 majority votes over the XXH64 (seed 42) of word shingles.
-Equal fingerprints are one node.  Two nodes link if they differ in at most
-RADIUS bits.
-
-Candidates: the 64 bits are cut into RADIUS + k blocks.  At most RADIUS of
-them can differ, so a linked pair agrees on some k blocks: there is a table for
-each choice of k, keyed by those blocks' bits.  k grows with the number of
-nodes so that buckets stay small; any k finds every link.
-
-Comparison: within a bucket, up to 64 fingerprints lie as 64 vertical bit
-planes, a lane each.  A query flips each plane by its own bit and adds the
-plane to bitwise carry-save counters, which count the differing bits of 64
-lanes at once.  Every few planes, blocks of which no lane is within the radius
-any more are abandoned.  Whole partitions of buckets are compared as arrays.
-
-A bucket passes on a star of links to its smallest linked node, never all
+Fingerprints: majority votes of the hashes of word shingles, bit by bit.
+Equal fingerprints are one node.  Two nodes link if few enough bits differ.
+
+Comparison: within a bucket, up to 64 fingerprints lie as vertical bit planes,
+a lane each.  A query flips each plane by its own bit; eight planes at a time
+go through carry-save adders into bitwise counters, which count the differing
+bits of 64 lanes at once.  Every few planes, blocks of which no lane is within
+the radius any more are abandoned.  Whole partitions of buckets are compared
+as arrays.  A bucket passes on a star of links to a linked node, never all
 pairs.  Buckets of more than CHUNK nodes are cut into chunks, and each pair of
 chunks is a task of its own.
 
+Two ways to buckets:
+
+* `near_duplicates` (64 bits, radius RADIUS, XXH64 with seed 42): the bits are
+  cut into RADIUS + k blocks.  At most RADIUS of them can differ, so a linked
+  pair agrees on some k blocks: there is a table for each choice of k.  k
+  grows with the number of nodes so that buckets stay small; any k finds every
+  link.
+* `similar_groups` (512 bits, shingles of five words): the radius is that of a
+  Jaccard similarity of 0.8, with room for the votes' spread, which is far too
+  wide for blocks.  Tables are keyed by sampled bits instead, as many tables as
+  bring a pair at that similarity together with probability RECALL at least,
+  and more similar pairs all but surely.
+
 Defined results: null and wordless texts have fingerprint 0 and link like any
 other; a null doc_id is larger than all others, and the component of a group
 without any doc_id is null; repeated rows are equal nodes; empty tables give
@@ -27,6 +33,8 @@ no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import math
+import random
 from itertools import combinations
 
 import numpy as np
@@ -37,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 from .components import components
-from .words import lean, ship
+from .words import MASK, lean, mixed, ship
 
 SEED = 42
 SHINGLE = 4
@@ -47,22 +55,34 @@ CHUNK = 4096
 ONE_BLOCK, TWO_BLOCKS = 2**19, 2**27
 #: (query, block of 64 lanes) elements compared at once.
 SLAB = 1 << 18
-#: Planes between two looks at which blocks can be abandoned.
-STRIDE = 8
+#: Planes between two looks at which blocks can be abandoned, for small and for large radii.
+STRIDE, WIDE_STRIDE = 8, 64
+#: Near-duplicates by similarity: shingles, words of 64 bits, room in standard deviations, and the chance to meet.
+WIDE_SHINGLE, WIDE_WORDS, SIMILARITY, SPREAD, RECALL = 5, 8, 0.8, 1.5, 0.98
+WIDE_CHUNK = 16_384
+#: Rows of sorted buckets that a task compares together.
+ROWS_AT_ONCE = 16_384
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+def shingle_hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of each run of `shingle` lower-case words, joined by a space; of all words, if there are fewer."""
     words = split_lower(text)
     n = len(words)
     if n == 0:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     if n <= shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
     starts = np.concatenate(([0], ends[: n - shingle]))
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts.tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)), np.uint64, n - shingle + 1)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts.tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)), np.uint64, n - shingle + 1)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    h = shingle_hashes(text, shingle, seed)
+    if not len(h):
+        return 0
     votes = np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * votes > len(h)).tobytes(), "big")
 
@@ -97,47 +117,65 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def _csa(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Carry-save adder: the sum bit and the carry bit of three bits, in every lane."""
+    u = a ^ b
+    return u ^ c, (a & b) | (u & c)
+
+
 def linked_lanes(queries: np.ndarray, blocks: np.ndarray, planes: np.ndarray, lanes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Elements (query, block) that have a lane within the radius, and those lanes.
 
-    queries: fingerprints; blocks: the block of each; planes: 64 x number of blocks; lanes: those to compare, as bits.
+    queries: n x words of 64 bits; blocks: the block of each; planes: bits x number of blocks; lanes: those to compare, as bits.
     """
     at = np.flatnonzero(lanes)
     q, b, alive = queries[at], blocks[at], lanes[at]
-    ones = twos = fours = over = np.zeros(len(at), np.uint64)
-    for first in range(0, 64, STRIDE):
-        for bit in range(first, first + STRIDE):
-            differ = planes[bit][b] ^ (np.uint64(0) - ((q >> np.uint64(bit)) & np.uint64(1)))
-            carry = ones & differ
-            ones = ones ^ differ
-            more = twos & carry
-            twos = twos ^ carry
-            over = over | (fours & more)
-            fours = fours ^ more
-        # counters hold 0..7; `over` keeps those that went past 7
-        near = alive & ~over & (_at_most(ones, twos, fours, radius))
-        keep = near != 0
-        if not keep.all():
-            at, q, b, ones, twos, fours, over, alive = (x[keep] for x in (at, q, b, ones, twos, fours, over, near))
-        else:
-            alive = near
-        if not len(at):
-            break
+    counter = [np.zeros(len(at), np.uint64) for _ in range(max(3, radius.bit_length()))]
+    over = np.zeros(len(at), np.uint64)
+    stride = STRIDE if radius < 8 else WIDE_STRIDE
+    for first in range(0, len(planes), 8):
+        d = [planes[bit][b] ^ (np.uint64(0) - ((q[:, bit >> 6] >> np.uint64(bit & 63)) & np.uint64(1))) for bit in range(first, first + 8)]
+        ones, twos, fours = counter[:3]
+        ones, t1 = _csa(ones, d[0], d[1])
+        ones, t2 = _csa(ones, d[2], d[3])
+        twos, f1 = _csa(twos, t1, t2)
+        ones, t1 = _csa(ones, d[4], d[5])
+        ones, t2 = _csa(ones, d[6], d[7])
+        twos, f2 = _csa(twos, t1, t2)
+        fours, carry = _csa(fours, f1, f2)
+        counter[:3] = ones, twos, fours
+        for k in range(3, len(counter)):
+            counter[k], carry = counter[k] ^ carry, counter[k] & carry
+        over |= carry
+        if (first + 8) % stride == 0 or first + 8 == len(planes):
+            near = alive & ~over & _at_most(counter, radius)
+            keep = near != 0
+            if keep.all():
+                alive = near
+            else:
+                at, q, b, over, alive = (x[keep] for x in (at, q, b, over, near))
+                counter = [x[keep] for x in counter]
+            if not len(at):
+                break
     return at, alive
 
 
-def _at_most(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose counter is at most the radius, for radius 0..7."""
-    out = np.zeros_like(ones)
-    for value in range(radius + 1):
-        out |= (ones if value & 1 else ~ones) & (twos if value & 2 else ~twos) & (fours if value & 4 else ~fours)
-    return out
+def _at_most(counter: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose counter is at most the radius, compared from the top bit down."""
+    above, same = np.zeros_like(counter[0]), ~np.zeros_like(counter[0])
+    for k in range(len(counter) - 1, -1, -1):
+        if radius >> k & 1:
+            same = same & counter[k]
+        else:
+            above |= same & counter[k]
+            same = same & ~counter[k]
+    return ~above
 
 
 def _planes(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Vertical bit planes of runs of fps, each run padded to whole blocks of 64 lanes.
+    """Vertical bit planes of runs of fps (n x words), each run padded to whole blocks of 64 lanes.
 
-    Returns planes (64 x blocks), the row in lane 0 of each block, its number of lanes, and the first block of each run.
+    Returns planes (bits x blocks), the row in lane 0 of each block, its number of lanes, and the first block of each run.
     """
     per = -(-sizes // 64)
     first = np.concatenate(([0], np.cumsum(per)))
@@ -148,17 +186,20 @@ def _planes(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.
     used = np.minimum(64, sizes[run] - 64 * nth)
     lane = np.arange(64)
     index = row[:, None] + np.minimum(lane[None, :], used[:, None] - 1)
-    bits = np.unpackbits(fps[index].astype(">u8").view(np.uint8).reshape(total, 64, 8), axis=2)  # block, lane, bit from the top
-    lanes_first = np.packbits(bits.transpose(2, 0, 1)[::-1], axis=2, bitorder="little")  # bit from the bottom, block, bytes of lanes
-    planes = np.ascontiguousarray(lanes_first).view("<u8").reshape(64, total)
-    return planes, row, used, first[:-1]
+    out = []
+    for w in range(fps.shape[1]):
+        bits = np.unpackbits(fps[:, w][index].astype("<u8").view(np.uint8).reshape(total, 64, 8), axis=2, bitorder="little")  # block, lane, bit
+        out.append(np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view("<u8").reshape(64, total))
+    return np.concatenate(out), row, used, first[:-1]
 
 
 def near_pairs(fps: np.ndarray, q_start: np.ndarray, q_size: np.ndarray, c_start: np.ndarray, c_size: np.ndarray, radius: int = RADIUS):
-    """Yields arrays (i, j) of rows within the radius: queries of a run against the candidates of the same run.
+    """Yields arrays (i, j) of rows of fps (n x words) within the radius: queries of a run against the candidates of the same run.
 
     Where a run's queries are its candidates, only i < j is compared.
     """
+    if not len(q_size):
+        return
     planes, row, used, first = _planes(fps, c_start, c_size)
     per = -(-c_size // 64)
     same = q_start == c_start
@@ -214,74 +255,149 @@ def local_stars(n: int, pairs) -> np.ndarray:
     return label
 
 
-def _compare_groups(batches, key_columns: int):
-    """Sorted rows (key..., part, fp) -> stars (u, v). Groups may span batches; the last one is kept back until it ends."""
-    held: list[np.ndarray] | None = None
+def _compare_groups(batches, radius: int):
+    """Sorted rows (t, k, a, b, part, id, fp) -> stars (u, v) of ids, many groups at once; the last group is kept back until it ends."""
+    parts: list[list[np.ndarray]] = []
+    rows = 0
     for batch in batches:
-        now = [np.asarray(c) for c in batch.columns]
-        if held is not None:
-            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-        n = len(now[0])
-        if not n:
+        if not batch.num_rows:
             continue
-        last = n - 1
-        same = np.ones(n, bool)
-        for c in now[:key_columns]:
-            same &= c == c[last]
-        start = n - int(same[::-1].argmin()) if not same.all() else 0
-        held = [c[start:] for c in now]
+        parts.append([*(np.asarray(c) for c in batch.columns[:-1]), _words(batch.column(batch.num_columns - 1))])
+        rows += batch.num_rows
+        if rows < ROWS_AT_ONCE:
+            continue
+        now = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        same = np.ones(rows, bool)
+        for c in now[:4]:
+            same &= c == c[-1]
+        start = rows - int(same[::-1].argmin()) if not same.all() else 0
+        parts, rows = [[c[start:] for c in now]], rows - start
         if start:
-            yield from _stars([c[:start] for c in now], key_columns)
-    if held is not None:
-        yield from _stars(held, key_columns)
+            yield from _stars([c[:start] for c in now], radius)
+    if parts:
+        yield from _stars([np.concatenate(x) for x in zip(*parts, strict=True)], radius)
+
 
+def _words(column: pa.Array) -> np.ndarray:
+    """Fingerprints as n x words: longs, or binary of whole words."""
+    if pa.types.is_integer(column.type):
+        return np.asarray(column).view(np.uint64)[:, None]
+    data = b"".join(column.to_pylist())
+    return np.frombuffer(data, "<u8").reshape(len(column), -1)
 
-def _stars(columns: list[np.ndarray], key_columns: int):
+
+def _stars(columns: list[np.ndarray], radius: int):
     n = len(columns[0])
     change = np.zeros(n, bool)
     change[0] = True
-    for c in columns[:key_columns]:
+    for c in columns[:4]:
         change[1:] |= c[1:] != c[:-1]
     start = np.flatnonzero(change)
     size = np.diff(np.append(start, n))
-    part, fps = columns[-2], columns[-1].view(np.uint64)
+    part, ids, fps = columns[4:]
     second = np.add.reduceat(part, start)  # rows of part 1 stand last in their group
     q_size = size - second
     c_start = np.where(second > 0, start + q_size, start)
     c_size = np.where(second > 0, second, size)
     keep = (size > 1) & (q_size > 0)
-    label = local_stars(n, near_pairs(fps, start[keep], q_size[keep], c_start[keep], c_size[keep]))
+    label = local_stars(n, near_pairs(fps, start[keep], q_size[keep], c_start[keep], c_size[keep], radius))
     moved = np.flatnonzero(label != np.arange(n))
     if len(moved):
-        signed = columns[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(signed[moved]), pa.array(signed[label[moved]])], names=["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["u", "v"])
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """nodes (fp, distinct) -> (u, v): links whose components are those of all pairs within the radius."""
-    spark = nodes.sparkSession
-    ship(spark)
-    n = nodes.count()
-    masks = block_masks(radius, 1 if n <= ONE_BLOCK else 2 if n <= TWO_BLOCKS else 3)
-    keyed = nodes.select(
-        "fp",
-        F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(masks)])).alias("x"),
-    ).select("x.t", "x.k", "fp")
+def _star_links(keyed: DataFrame, radius: int, chunk: int) -> DataFrame:
+    """keyed (t, k, id, fp) -> (u, v): links whose components are those of all pairs of a bucket within the radius."""
     large = materialise(keyed.groupBy("t", "k").count().filter(F.col("count") > chunk).select("t", "k", F.ceil(F.col("count") / chunk).cast("int").alias("chunks")), "large-buckets")
-    has_large = large.head(1) != []
-    if has_large:
+    if large.head(1) != []:
         keyed = keyed.join(large, ["t", "k"], "left")
-        mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+        mine = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
         other = F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))
         keyed = (
             keyed.withColumn("mine", F.when(F.col("chunks").isNull(), 0).otherwise(mine))
             .withColumn("other", other)
-            .select("t", "k", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), (F.col("mine") > F.col("other")).cast("long").alias("part"), "fp")
+            .select("t", "k", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), (F.col("mine") > F.col("other")).cast("long").alias("part"), "id", "fp")
         )
     else:
-        keyed = keyed.select("t", "k", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).cast("long").alias("part"), "fp")
+        keyed = keyed.select("t", "k", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).cast("long").alias("part"), "id", "fp")
     ordered = keyed.repartition("t", "k", "a", "b").sortWithinPartitions("t", "k", "a", "b", "part")
-    return ordered.mapInArrow(lean(lambda batches: _compare_groups(batches, 4)), "u long, v long")
+    return ordered.mapInArrow(lean(lambda batches: _compare_groups(batches, radius)), "u long, v long")
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+    """nodes (fp, distinct longs) -> (u, v): links whose components are those of all pairs within the radius."""
+    ship(nodes.sparkSession)
+    n = nodes.count()
+    masks = block_masks(radius, 1 if n <= ONE_BLOCK else 2 if n <= TWO_BLOCKS else 3)
+    keyed = nodes.select(
+        "fp",
+        F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(masks)])).alias("x"),
+    ).select("x.t", "x.k", F.col("fp").alias("id"), "fp")
+    return _star_links(keyed, radius, chunk)
+
+
+def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE, words: int = WIDE_WORDS) -> bytes:
+    """64 * words votes of word shingles; a shingle's later words of hash bits are mixed from the first."""
+    h = shingle_hashes(text, shingle, SEED)
+    if not len(h):
+        return bytes(8 * words)
+    out = []
+    for w in range(words):
+        votes = np.unpackbits((mixed(h + np.uint64(w * 0x9E3779B97F4A7C15 & MASK)) if w else h).astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        out.append(np.packbits(2 * votes > len(h), bitorder="little").tobytes())
+    return b"".join(out)
+
+
+def angle_share(similarity: float) -> float:
+    """The share of bits by which SimHashes of two sets of that Jaccard similarity, and equal size, differ on average."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def wide_radius(similarity: float = SIMILARITY, words: int = WIDE_WORDS, spread: float = SPREAD) -> int:
+    """Bits by which a pair of that similarity differs, with `spread` standard deviations of room."""
+    p, bits = angle_share(similarity), 64 * words
+    return round(bits * p + spread * math.sqrt(bits * p * (1 - p)))
+
+
+def sampled_bits(n: int, similarity: float = SIMILARITY, words: int = WIDE_WORDS, recall: float = RECALL) -> list[list[int]]:
+    """The bits that key each table: about log2(n) - 5 of them, in as many tables as bring a pair of that similarity together with the given probability."""
+    m = max(12, round(math.log2(max(n, 2)) - 5))
+    together = (1 - angle_share(similarity)) ** m
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - together))
+    rng = random.Random(SEED)
+    return [sorted(rng.sample(range(64 * words), m)) for _ in range(tables)]
+
+
+def _sampled(nodes: DataFrame, tables: list[list[int]]) -> DataFrame:
+    """nodes (id, fp binary) -> (t, k, id, fp): a row for each table, keyed by its bits."""
+
+    def run(batches):
+        for batch in batches:
+            fps = _words(batch.column(1))
+            bits = np.unpackbits(fps.view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
+            for t, chosen in enumerate(tables):
+                k = bits[:, chosen].astype(np.int64) @ (np.int64(1) << np.arange(len(chosen), dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), t, np.int32)), pa.array(k), batch.column(0), batch.column(1)], names=["t", "k", "id", "fp"])
+
+    return nodes.mapInArrow(lean(run), "t int, k long, id long, fp binary")
+
+
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, chunk: int = WIDE_CHUNK) -> DataFrame:
+    """doc_id, mark and root (that names the group) of each row: groups of documents linked by that similarity of their shingles."""
+    ship(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            fps = [wide_fingerprint(x) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary())], names=["doc_id", "mark", "fp"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(lean(run), f"doc_id {kind}, mark long, fp binary")
+    marked = materialise(found.withColumn("id", F.xxhash64("fp")), "wide-fingerprints")
+    nodes = materialise(marked.groupBy("id").agg(F.min("fp").alias("fp")), "wide-nodes")
+    tables = sampled_bits(nodes.count(), similarity)
+    stars = materialise(components(_star_links(_sampled(nodes, tables), wide_radius(similarity), chunk)), "wide-stars")
+    return marked.join(stars, marked["id"] == stars["u"], "left").select("doc_id", "mark", F.coalesce("v", "id").alias("root"))
 
 
 def marked_components(docs: DataFrame) -> DataFrame:
@@ -300,14 +416,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked_components(docs).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, that with the smallest doc_id, with the columns of docs.
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each group of similar ones, that with the smallest doc_id, with the columns of docs.
 
     Of several rows with that doc_id, the one with the smallest hash of its text stays.
     """
     key = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))
     first = F.min(F.struct(key.alias("_key"), F.col("mark").alias("_mark")))
-    keep = materialise(marked_components(docs).groupBy("root").agg(first.alias("x")).select("x.*"), "kept")
+    keep = materialise(similar_groups(docs, similarity).groupBy("root").agg(first.alias("x")).select("x.*"), "kept")
     mine = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     rows = docs.select(key.alias("_key"), F.xxhash64("text").alias("_mark"), mine).join(keep, ["_key", "_mark"], "left_semi")
     nth = F.row_number().over(Window.partitionBy("_key", "_mark").orderBy("_key"))

@@ -2,20 +2,24 @@ import os
 from collections import Counter
 
 import corpus_pipeline as c
-from larkspur.llm import pieces, quality
+from larkspur.llm import pieces, quality, simhash
 
 from .common import awkward, empty, words
 from .test_quality import brute as judged
 from .test_sharding_mixing import brute_mix
-from .test_simhash import brute_components, brute_fingerprint
+from .test_simhash import brute_groups
 from .test_substrings import brute as removed
 
 
 def brute(rows):
     """(doc_id, text) of every row that reaches the last stage, by brute-force versions of the stages."""
     rows = [r for r in rows if judged(r[1])[-1]]
-    comp = brute_components([r[0] for r in rows], [brute_fingerprint(r[1]) for r in rows])
-    rows = [r for r, k in zip(rows, comp) if r[0] == k]
+    fps = [int.from_bytes(simhash.wide_fingerprint(r[1]), "little") for r in rows]
+    label = brute_groups(rows, lambda i, j: (fps[i] ^ fps[j]).bit_count() <= simhash.wide_radius())
+    first = {}
+    for r, k in zip(rows, label):
+        first[k] = min(first.get(k, r[0]), r[0])
+    rows = [r for r, k in zip(rows, label) if r[0] == first[k]]
     texts = {d: (kept if gone else None) for d, _, gone, kept in removed([(r[0], r[1]) for r in rows])}
     rows = [(r[0], r[1] if texts[r[0]] is None else texts[r[0]], r[2], r[3], r[4]) for r in rows]
     out = []

@@ -59,14 +59,66 @@ def test_block_masks_find_every_pair(equal):
 
 
 def test_near_pairs_equal_brute_force():
-    fps = np.array(clustered(700, 3), np.uint64)
+    fps = np.array(clustered(700, 3), np.uint64)[:, None]
     runs = [(0, 1), (1, 63), (64, 64), (128, 65), (193, 507)]
     start, size = (np.array(x) for x in zip(*runs))
     got = {(int(a), int(b)) for i, j in s.near_pairs(fps, start, size, start, size) for a, b in zip(i, j)}
-    want = {(i, j) for a, n in runs for i in range(a, a + n) for j in range(i + 1, a + n) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 4}
+    want = {(i, j) for a, n in runs for i in range(a, a + n) for j in range(i + 1, a + n) if (int(fps[i, 0]) ^ int(fps[j, 0])).bit_count() <= 4}
     assert got == want and len(want) > 100
 
 
+@pytest.mark.parametrize("radius", [7, 8, 60, 88, 127])
+def test_wide_pairs_equal_brute_force(radius):
+    rng = random.Random(radius)
+    base = [rng.getrandbits(512) for _ in range(6)]
+    near = []
+    for _ in range(210):
+        x = rng.choice(base)
+        for _ in range(rng.randrange(radius + 20)):
+            x ^= 1 << rng.randrange(512)
+        near.append(x)
+    fps = np.array([[x >> 64 * w & (1 << 64) - 1 for w in range(8)] for x in near], np.uint64)
+    start, size = np.array([0, 100]), np.array([100, 110])
+    got = {(int(a), int(b)) for i, j in s.near_pairs(fps, start, size, start, size, radius) for a, b in zip(i, j)}
+    want = {(i, j) for a, n in zip(start.tolist(), size.tolist()) for i in range(a, a + n) for j in range(i + 1, a + n) if (near[i] ^ near[j]).bit_count() <= radius}
+    assert got == want and want
+
+
+def edited(words, k, rng):
+    out = list(words)
+    for _ in range(k):
+        out[rng.randrange(len(out))] = f"new{rng.randrange(10**6)}"
+    return out
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_documents_are_grouped(spark):
+    """Pairs of a similarity of 0.85 or more are found, those under 0.6 are left alone."""
+    rng = random.Random(8)
+    texts, bases = [], []
+    for _ in range(120):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(120, 400))]
+        bases.append((base, edited(base, rng.randrange(1, 14), rng)))
+        texts += bases[-1]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    root = {r.doc_id: r.root for r in s.similar_groups(docs).collect()}
+    seen = {"near": [], "far": []}
+    for n, (a, b) in enumerate(bases):
+        j = jaccard(a, b)
+        if j >= 0.85 or j < 0.6:
+            seen["near" if j >= 0.85 else "far"].append(root[2 * n] == root[2 * n + 1])
+    assert len(seen["near"]) > 30 and np.mean(seen["near"]) >= 0.97
+    assert not any(seen["far"])
+    assert len({root[2 * n] for n in range(120)}) == 120
+    # chunked buckets give the same groups
+    again = {r.doc_id: r.root for r in s.similar_groups(docs, chunk=5).collect()}
+    assert {d: [e for e in root if root[e] == r] for d, r in root.items()} == {d: [e for e in again if again[e] == r] for d, r in again.items()}
+
+
 def test_links_with_and_without_chunks(spark):
     fps = sorted(set(clustered(600, 5)))
     nodes = spark.createDataFrame([(s._signed(x),) for x in fps], "fp long")
@@ -90,17 +142,32 @@ def test_awkward_rows_equal_brute_force(spark):
     assert got == sorted((r[0] or -1, f, c or -1) for r, f, c in zip(rows, fps, comp))
 
 
+def brute_groups(rows, similar):
+    """A label for each row: the smallest row reachable by similar pairs."""
+    label = list(range(len(rows)))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(rows)):
+            for j in range(i):
+                if label[i] != label[j] and similar(i, j):
+                    label[i] = label[j] = min(label[i], label[j])
+                    changed = True
+    return label
+
+
 def test_keep_one(spark):
     docs = awkward(spark, extra=True)
     kept = s.keep_one(docs)
     assert kept.columns == docs.columns
     rows = awkward_rows()
-    fps = [brute_fingerprint(r[1]) for r in rows]
-    comp = brute_components([r[0] for r in rows], fps)
-    alone = [r[1] for r, c in zip(rows, comp) if c is None]  # groups without any doc_id
-    ids = [r.doc_id for r in kept.collect()]
-    assert sorted(x for x in ids if x is not None) == sorted({c for c in comp if c is not None})
-    assert ids.count(None) == len(set(alone))
+    fps = [int.from_bytes(s.wide_fingerprint(r[1]), "little") for r in rows]
+    label = brute_groups(rows, lambda i, j: (fps[i] ^ fps[j]).bit_count() <= s.wide_radius())
+    want = {}
+    for r, k in zip(rows, label):
+        want.setdefault(k, []).append(2**63 if r[0] is None else r[0])
+    ids = sorted(2**63 if r.doc_id is None else r.doc_id for r in kept.collect())
+    assert ids == sorted(min(x) for x in want.values())
 
 
 def test_empty(spark):
