@@ -23,6 +23,7 @@ empty table writes no archive and gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import uuid
 import zlib
@@ -101,10 +102,29 @@ class _Members:
         return b""
 
 
+class _Digest:
+    """A running digest next to the one a header states (algorithm:value, in hex or base32); nothing stated is never wrong."""
+
+    def __init__(self, stated: str | None):
+        name, _, self.value = (stated or "").partition(":")
+        self.known = bool(self.value) and name.lower().replace("-", "") in ("sha1", "sha256", "sha512", "md5")
+        self._hash = hashlib.new(name.lower().replace("-", "")) if self.known else None
+
+    def update(self, part: bytes) -> None:
+        if self._hash is not None:
+            self._hash.update(part)
+
+    def wrong(self) -> bool:
+        if self._hash is None:
+            return False
+        raw = self._hash.digest()
+        return self.value.lower() != raw.hex() and self.value.upper().rstrip("=") != base64.b32encode(raw).decode().rstrip("=")
+
+
 def read_records(read: Callable[[int], bytes], payloads: bool = False) -> Iterator[dict]:
-    """Records of a stream: fields (lower-case names), payload_bytes, payload_digest, and the payload if asked for.
+    """Records of a stream: fields (lower-case names), payload_bytes, payload_digest (as stated, else SHA-256), and the payload if asked for.
 
-    Raises WarcError if framing, length or a digest is wrong.
+    Raises WarcError if framing, length or a stated digest is wrong.
     """
     members = _Members(read)
     while members.next_member():
@@ -135,7 +155,8 @@ def read_records(read: Callable[[int], bytes], payloads: bool = False) -> Iterat
             left = int(fields["content-length"])
         except (KeyError, ValueError) as e:
             raise WarcError("a record has no Content-Length") from e
-        block, payload, n, kept, http = hashlib.sha256(), hashlib.sha256(), 0, [], b""
+        block, payload = _Digest(fields.get("warc-block-digest")), _Digest(fields.get("warc-payload-digest"))
+        own, n, kept, http = hashlib.sha256(), 0, [], b""
         in_http = "application/http" in fields.get("content-type", "")
         while left:
             if not held:
@@ -154,6 +175,7 @@ def read_records(read: Callable[[int], bytes], payloads: bool = False) -> Iterat
                 http, _, part = http.partition(b"\r\n\r\n")
                 in_http = False
             payload.update(part)
+            own.update(part)
             n += len(part)
             if payloads:
                 kept.append(part)
@@ -163,15 +185,36 @@ def read_records(read: Callable[[int], bytes], payloads: bool = False) -> Iterat
                 break
         if held != b"\r\n\r\n":
             raise WarcError("a record does not end where its Content-Length says")
-        stated = {k: fields.get(f"warc-{k}-digest", "").removeprefix("sha256:") for k in ("block", "payload")}
-        if stated["block"] != block.hexdigest():
+        if block.wrong():
             raise WarcError(f"block digest of {fields.get('warc-record-id')} differs")
+        digest = payload.value if payload.known else own.hexdigest()
         if fields.get("warc-type") == "revisit":  # the payload stays with the record it refers to
-            lengths = [x.partition(b":")[2] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-            n = int(lengths[0])
-        elif stated["payload"] != payload.hexdigest():
+            lengths = [x.partition(b":")[2].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+            n = int(lengths[0]) if lengths and lengths[0].isdigit() else 0
+        elif payload.wrong():
             raise WarcError(f"payload digest of {fields.get('warc-record-id')} differs")
-        yield {"fields": fields, "payload_bytes": n, "payload_digest": stated["payload"], "payload": b"".join(kept) if payloads else None}
+        yield {"fields": fields, "payload_bytes": n, "payload_digest": digest, "payload": b"".join(kept) if payloads else None}
+
+
+def read_warc(spark: SparkSession, paths: list[str], payloads: bool = False) -> DataFrame:
+    """Records of any archives (URIs), a task for each: record_id, record_type, target_uri, date, payload_bytes, payload_digest, and the payload if asked for."""
+    ship(spark)
+
+    def run(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                fs, at = filesystem(path)
+                with fs.open_input_stream(at, compression=None) as stream:
+                    for r in read_records(stream.read, payloads):
+                        f = r["fields"]
+                        row = {"record_id": [f.get("warc-record-id")], "record_type": [f.get("warc-type")], "target_uri": [f.get("warc-target-uri")], "date": [f.get("warc-date")], "payload_bytes": [r["payload_bytes"]], "payload_digest": [r["payload_digest"]]}
+                        if payloads:
+                            row["payload"] = pa.array([r["payload"]], pa.binary())
+                        yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.string()) if k in ("record_id", "record_type", "target_uri", "date", "payload_digest") else v for k, v in row.items()})
+
+    schema = "record_id string, record_type string, target_uri string, date string, payload_bytes long, payload_digest string" + (", payload binary" if payloads else "")
+    files = spark.createDataFrame([(x,) for x in paths], "path string").repartition(max(1, len(paths)))
+    return files.mapInArrow(lean(run), schema)
 
 
 def typed(pages: DataFrame) -> DataFrame:

@@ -85,6 +85,30 @@ def test_each_record_is_a_member():
     assert z.decompress(records()).startswith(b"WARC/1.1") and z.eof and z.unused_data
 
 
+def foreign(kind, block, **fields):
+    head = "WARC/1.0\r\n" + "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in {"WARC_Type": kind, "WARC_Record_ID": "<urn:uuid:0>", **fields, "Content_Length": len(block)}.items()) + "\r\n"
+    return gzip.compress(head.encode() + block + b"\r\n\r\n")
+
+
+def test_foreign_archives(spark, tmp_path):
+    """Records of other writers: other kinds, no digests, SHA-1 in base32."""
+    import base64
+
+    body = b"<html>hi</html>"
+    sha1 = "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    data = foreign("warcinfo", b"software: x\r\n") + foreign("response", http + body, Content_Type="application/http; msgtype=response", WARC_Payload_Digest=sha1, WARC_Target_URI="http://x/") + foreign("revisit", http, Content_Type="application/http; msgtype=response", WARC_Payload_Digest=sha1)
+    got = read(data)
+    assert [r["payload"] for r in got] == [b"software: x\r\n", body, b""]
+    wrong = foreign("response", http + b"other", Content_Type="application/http", WARC_Payload_Digest=sha1)
+    with pytest.raises(w.WarcError):
+        read(wrong)
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    rows = w.read_warc(spark, [f"file://{tmp_path}/a.warc.gz"], payloads=True).collect()
+    assert [(r.record_type, r.target_uri, r.payload_bytes) for r in rows] == [("warcinfo", None, 13), ("response", "http://x/", 15), ("revisit", None, 0)]
+    assert bytes(rows[1].payload) == body
+
+
 def damaged():
     one = gzip.decompress(w.encode_record(1, "http://x/", b"payload", None))
     again = lambda x: gzip.compress(x)
