@@ -21,39 +21,27 @@ def groups(df: DataFrame, partition: list[str], order: list[Column], start: int,
 def sum_excluding(df: DataFrame, partition: list[str], order: list[Column], value: Column, exclude: str, name: str, start: int = Window.unboundedPreceding, end: int = Window.currentRow, unit: str = "rows") -> DataFrame:
     """sum(value) over a frame less what EXCLUDE takes out: "current row", "group", "ties" or "no others".
 
-    The frame's sum loses the excluded rows that lie in it; of a frame that then has no value the sum is null.
+    Peers stand side by side, so those that lie in the frame are a frame of their own within the peer group;
+    what is excluded is summed there and taken off.  A frame that then has no value has a null sum.
     """
     peers = Window.partitionBy(*partition).orderBy(*order)
     by = df.withColumns({"_v": value, "_nth": F.row_number().over(peers), "_group": F.dense_rank().over(peers)})
+    inside = start <= 0 <= end  # whether the current row, and with groups its peers, are in the frame
     if unit == "rows":
         frame = Window.partitionBy(*partition).orderBy("_nth").rowsBetween(start, end)
-        place, own = "_nth", F.col("_nth")
+        own_group = Window.partitionBy(*partition, "_group").orderBy("_nth").rowsBetween(start, end)
+        some = True
     else:
         frame = Window.partitionBy(*partition).orderBy("_group").rangeBetween(start, end)
-        place, own = "_group", F.col("_group")
-    low = own + start if start > Window.unboundedPreceding else None
-    high = own + end if end < Window.unboundedFollowing else None
-    rows = F.collect_list(F.struct(F.col(place).alias("p"), F.col("_nth").alias("n"), F.col("_v").alias("v"))).over(Window.partitionBy(*partition, "_group"))
-
-    def inside(r):
-        out = F.lit(True)
-        if low is not None:
-            out = out & (r["p"] >= low)
-        if high is not None:
-            out = out & (r["p"] <= high)
-        return out
-
-    gone = {
-        "no others": lambda r: F.lit(False),
-        "current row": lambda r: r["n"] == F.col("_nth"),
-        "group": lambda r: F.lit(True),
-        "ties": lambda r: r["n"] != F.col("_nth"),
+        own_group = Window.partitionBy(*partition, "_group")
+        some = inside
+    own, one = (F.coalesce("_v", F.lit(0.0)), F.col("_v").isNotNull().cast("long")) if inside else (F.lit(0.0), F.lit(0).cast("long"))
+    group, many = (F.coalesce(F.sum("_v").over(own_group), F.lit(0.0)), F.count("_v").over(own_group)) if some else (F.lit(0.0), F.lit(0).cast("long"))
+    lost, n_lost = {
+        "no others": (F.lit(0.0), F.lit(0).cast("long")),
+        "current row": (own, one),
+        "group": (group, many),
+        "ties": (group - own, many - one),
     }[exclude]
-    out_rows = F.filter("_peers", lambda r: inside(r) & gone(r) & r["v"].isNotNull())
-    total, count = F.sum("_v").over(frame), F.count("_v").over(frame)
-    lost = F.aggregate(out_rows, F.lit(0.0), lambda a, r: a + r["v"])
-    return (
-        by.withColumns({"_total": total, "_count": count, "_peers": rows})
-        .withColumn(name, F.when(F.col("_count") > F.size(out_rows), F.col("_total") - lost))
-        .drop("_v", "_nth", "_group", "_total", "_count", "_peers")
-    )
+    out = by.withColumns({"_total": F.sum("_v").over(frame), "_count": F.count("_v").over(frame), "_lost": lost, "_n_lost": n_lost})
+    return out.withColumn(name, F.when(F.col("_count") > F.col("_n_lost"), F.col("_total") - F.col("_lost"))).drop("_v", "_nth", "_group", "_total", "_count", "_lost", "_n_lost")

@@ -128,6 +128,23 @@ for _how in ("current row", "group", "ties", "no others"):
     _excluding(_how)
 
 
+def _excluding_rows(how):
+    sql = f"SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority, o_orderkey // 40 ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING EXCLUDE {how.upper()}), 2) AS s FROM (SELECT * FROM orders WHERE o_orderkey % 40 = 0)"
+
+    def run(spark, d):
+        df = t(spark, d, "orders").filter("o_orderkey % 40 = 0").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+        order = [F.col("o_orderpriority").asc_nulls_last(), F.floor(F.col("o_orderkey") / 40).asc_nulls_last()]
+        out = frames.sum_excluding(df, ["o_orderstatus"], order, F.col("o_totalprice"), how, "s", -3, 2, "rows")
+        return out.select("o_orderkey", F.round("s", 2).alias("s"))
+
+    run.__name__ = f"win_rows_exclude_{how.replace(' ', '_')}"
+    return query(sql)(run)
+
+
+for _how in ("current row", "group", "ties"):
+    _excluding_rows(_how)
+
+
 @query("SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice < 100000) + 1 AS r, count(DISTINCT o_totalprice) FILTER (WHERE o_totalprice < 100000) + 1 AS dr, round(count(*) FILTER (WHERE o_totalprice < 100000) / count(*), 9) AS pr, round((count(*) FILTER (WHERE o_totalprice <= 100000) + 1) / (count(*) + 1), 9) AS cd FROM orders GROUP BY o_orderstatus")
 def agg_hypothetical(spark, d):
     p = F.col("o_totalprice")
