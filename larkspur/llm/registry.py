@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_warc": warc.SQL,
+    "op3_rendezvous_sharding": sharding.SQL,
     "op5_super_kmers": substrings.SQL,
     "op7_quality_cascade": quality.SQL,
     "op9_mixing": mixing.SQL,

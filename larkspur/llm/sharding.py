@@ -94,3 +94,33 @@ def shard_documents(docs: DataFrame, weights: list[float] | None = None, grown_w
 
 def op3_rendezvous_sharding(spark, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
+
+
+def _hash(*parts: str) -> str:
+    text = " || ':' || ".join(parts)
+    return f"('0x' || substr(md5({text}), 1, 13))::BIGINT"
+
+
+_KEY = "coalesce(doc_id::VARCHAR, 'null')"
+_ALL = ", ".join(_hash(_KEY, f"'{s}'") for s in range(17))
+#: CRC-32 as a fold over the bytes of the text (reflected polynomial 0xEDB88320).
+SQL = f"""
+WITH tbl AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+b AS (
+  SELECT doc_id, (strlen(coalesce(text, '')) + 1)::BIGINT AS size, hex(encode(coalesce(text, ''))) AS h, [{_ALL}] AS scores,
+         greatest(1, least({MAX_BUCKETS // 16}, ceil(count(*) OVER () / 16.0 / {BUCKET_ROWS})))::BIGINT AS buckets
+  FROM documents),
+k AS (
+  SELECT doc_id, size, buckets,
+         xor(list_reduce(list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
+                         lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295)::BIGINT AS text_crc32,
+         (list_position(scores[1:16], list_max(scores[1:16])) - 1)::INT AS shard,
+         (list_position(scores, list_max(scores)) - 1)::INT AS grown_shard
+  FROM b, tbl),
+p AS (
+  SELECT *, {_hash(_KEY, "text_crc32", "size")} % buckets AS bucket FROM k)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard
+FROM p
+"""
