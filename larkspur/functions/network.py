@@ -6,7 +6,7 @@ import ipaddress
 
 from pyspark.sql import functions as F
 
-from .base import col, cols, python
+from .base import cols, python
 
 
 def _interface(x: str):

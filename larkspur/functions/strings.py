@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .base import col, cols, null_if_any, python

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from .base import col, cols, python
+from .base import cols, python
 
 THRESHOLD, WORD_THRESHOLD, STRICT_THRESHOLD = 0.3, 0.6, 0.5
 _limit = {"similarity": THRESHOLD}
