@@ -12,18 +12,19 @@ as arrays.  A bucket passes on a star of links to a linked node, never all
 pairs.  Buckets of more than CHUNK nodes are cut into chunks, and each pair of
 chunks is a task of its own.
 
-Two ways to buckets:
-
-* `near_duplicates` (64 bits, radius RADIUS, XXH64 with seed 42): the bits are
-  cut into RADIUS + k blocks.  At most RADIUS of them can differ, so a linked
-  pair agrees on some k blocks: there is a table for each choice of k.  k
-  grows with the number of nodes so that buckets stay small; any k finds every
-  link.
-* `similar_groups` (512 bits, shingles of five words): the radius is that of a
-  Jaccard similarity of 0.8, with room for the votes' spread, which is far too
-  wide for blocks.  Tables are keyed by sampled bits instead, as many tables as
-  bring a pair at that similarity together with probability RECALL at least,
-  and more similar pairs all but surely.
+Buckets of `near_duplicates` (64 bits, radius RADIUS, XXH64 with seed 42): the
+bits are cut into RADIUS + k blocks.  At most RADIUS of them can differ, so a
+linked pair agrees on some k blocks: there is a table for each choice of k.  k
+grows with the number of nodes so that buckets stay small; any k finds every
+link.
+
+`similar_groups` goes by the exact Jaccard similarity of sets of five-word
+shingles (as 64-bit hashes) instead.  Candidates come from prefixes: in an
+order that all sets share, two similar sets have one of their first shingles in
+common, about a fifth of them at 0.8.  Sizes, places in the prefix and parities
+drop only pairs that cannot be similar, and each pair left is decided by its
+sets, so no link is lost and none is made below the similarity.  Neighbours in
+buckets are compared first; then only pairs that these links leave apart.
 
 Defined results: null and wordless texts have fingerprint 0 and link like any
 other; a null doc_id is larger than all others, and the component of a group
@@ -34,7 +35,7 @@ no rows; further columns are ignored.
 from __future__ import annotations
 
 import math
-import random
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -57,9 +58,14 @@ ONE_BLOCK, TWO_BLOCKS = 2**19, 2**27
 SLAB = 1 << 18
 #: Planes between two looks at which blocks can be abandoned, for small and for large radii.
 STRIDE, WIDE_STRIDE = 8, 64
-#: Near-duplicates by similarity: shingles, words of 64 bits, room in standard deviations, and the chance to meet.
-WIDE_SHINGLE, WIDE_WORDS, SIMILARITY, SPREAD, RECALL = 5, 8, 0.8, 1.5, 0.98
+#: Near-duplicates by similarity: words to a shingle, and the similarity.
+WIDE_SHINGLE, SIMILARITY = 5, 0.8
+#: Wide fingerprints: words of 64 bits, and room in standard deviations.
+WIDE_WORDS, SPREAD = 8, 1.5
 WIDE_CHUNK = 16_384
+#: Bytes of a set's parities; documents in which common shingles are sought, in how many of them, and the most kept.
+PARITY_BYTES = 128
+SAMPLE, COMMON, MOST_COMMON = 20_000, 20, 100_000
 #: Rows of sorted buckets that a task compares together.
 ROWS_AT_ONCE = 16_384
 
@@ -359,44 +365,189 @@ def wide_radius(similarity: float = SIMILARITY, words: int = WIDE_WORDS, spread:
     return round(bits * p + spread * math.sqrt(bits * p * (1 - p)))
 
 
-def sampled_bits(n: int, similarity: float = SIMILARITY, words: int = WIDE_WORDS, recall: float = RECALL) -> list[list[int]]:
-    """The bits that key each table: about log2(n) - 5 of them, in as many tables as bring a pair of that similarity together with the given probability."""
-    m = max(12, round(math.log2(max(n, 2)) - 5))
-    together = (1 - angle_share(similarity)) ** m
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - together))
-    rng = random.Random(SEED)
-    return [sorted(rng.sample(range(64 * words), m)) for _ in range(tables)]
+def shingle_set(text: str | None, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """The distinct shingle hashes in rising order."""
+    return np.unique(shingle_hashes(text, shingle, SEED))
 
 
-def _sampled(nodes: DataFrame, tables: list[list[int]]) -> DataFrame:
-    """nodes (id, fp binary) -> (t, k, id, fp): a row for each table, keyed by its bits."""
+def share(similarity: float) -> tuple[int, int]:
+    """The similarity as a fraction of integers, so that no comparison rounds."""
+    return Fraction(str(similarity)).as_integer_ratio()
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """So many first shingles of a set of n, in any order that all sets share: similar sets have one of them in common."""
+    num, den = share(similarity)
+    return n - -(-num * n // den) + 1 if n else 0
+
+
+def parity(h: np.ndarray) -> bytes:
+    """Bits that each shingle flips one of: two sets differ by at least as many shingles as their parities do by bits."""
+    odd = np.bincount((mixed(h) % np.uint64(8 * PARITY_BYTES)).astype(np.int64), minlength=8 * PARITY_BYTES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def common_shingles(docs: DataFrame) -> np.ndarray:
+    """Shingles of many documents of a bounded sample, in rising order; they come last in prefixes, which changes the cost alone."""
+    if docs.select(F.count("*")).head()[0] <= SAMPLE:
+        few = docs.select("text")
+    else:
+        few = docs.select("text").orderBy(F.xxhash64("text")).limit(SAMPLE)
 
     def run(batches):
         for batch in batches:
-            fps = _words(batch.column(1))
-            bits = np.unpackbits(fps.view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
-            for t, chosen in enumerate(tables):
-                k = bits[:, chosen].astype(np.int64) @ (np.int64(1) << np.arange(len(chosen), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), t, np.int32)), pa.array(k), batch.column(0), batch.column(1)], names=["t", "k", "id", "fp"])
+            sets = [shingle_set(x) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["s"])
 
-    return nodes.mapInArrow(lean(run), "t int, k long, id long, fp binary")
+    counts = few.distinct().mapInArrow(lean(run), "s long").groupBy("s").count().filter(F.col("count") >= COMMON)
+    rows = counts.orderBy(F.desc("count"), "s").limit(MOST_COMMON).collect()
+    return np.sort(np.array([r.s for r in rows], np.int64).view(np.uint64))
 
 
-def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, chunk: int = WIDE_CHUNK) -> DataFrame:
-    """doc_id, mark and root (that names the group) of each row: groups of documents linked by that similarity of their shingles."""
+def _shingled(docs: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, mark, id (of the shingle set), n (its size), its parity, and its prefix."""
     ship(docs.sparkSession)
+    common = common_shingles(docs)
 
     def run(batches):
         for batch in batches:
-            fps = [wide_fingerprint(x) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary())], names=["doc_id", "mark", "fp"])
+            ids, sizes, parities, prefixes = [], [], [], []
+            for text in batch.column(2).to_pylist():
+                h = shingle_set(text)
+                ids.append(xxhash.xxh3_64_intdigest(h.tobytes()))
+                sizes.append(len(h))
+                parities.append(parity(h))
+                if len(common) and len(h):
+                    last = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
+                    h = np.concatenate((h[~last], h[last]))
+                prefixes.append(h[: prefix_length(len(h), similarity)].view(np.int64))
+            columns = [pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(parities, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "mark", "id", "n", "parity", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(lean(run), f"doc_id {kind}, mark long, fp binary")
-    marked = materialise(found.withColumn("id", F.xxhash64("fp")), "wide-fingerprints")
-    nodes = materialise(marked.groupBy("id").agg(F.min("fp").alias("fp")), "wide-nodes")
-    tables = sampled_bits(nodes.count(), similarity)
-    stars = materialise(components(_star_links(_sampled(nodes, tables), wide_radius(similarity), chunk)), "wide-stars")
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(lean(run), f"doc_id {kind}, mark long, id long, n long, parity binary, prefix array<long>")
+
+
+def _runs_of_buckets(batches, keys: int):
+    """Whole buckets (rows equal in the first `keys` columns) of sorted batches, many at once, as lists of columns."""
+    parts: list[list[np.ndarray]] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        parts.append([np.asarray(c) for c in batch.columns])
+        rows += batch.num_rows
+        if rows < ROWS_AT_ONCE:
+            continue
+        now = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        other = np.zeros(rows, bool)
+        for c in now[:keys]:
+            other |= c != c[-1]
+        start = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+        parts, rows = [[c[start:] for c in now]], rows - start
+        if start:
+            yield [c[:start] for c in now]
+    if parts:
+        yield [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
+def _bucket_pairs(columns: list[np.ndarray], similarity: float, chained: bool):
+    """Sorted rows (s, a, b, n, id, at, mine, root) -> batches of pairs of ids that may be similar: neighbours if chained, else all of different roots."""
+    s, a, b, n, ids, at, mine, root = columns
+    num, den = share(similarity)
+    live = np.arange(len(s))
+    step = 0
+    while True:
+        step += 1
+        live = live[live + step < len(s)]
+        j = live + step
+        # rows of a bucket rise by n: once sizes are too far apart, they stay so
+        live = live[(s[live] == s[j]) & (a[live] == a[j]) & (b[live] == b[j]) & (den * n[live] >= num * n[j])]
+        if not len(live):
+            return
+        j = live + step
+        # the first shingle that two sets share has at most the shorter rest of shingles after it in common
+        most = 1 + np.minimum(n[live] - at[live], n[j] - at[j]) - 1
+        take = (most * (num + den) >= num * (n[live] + n[j])) & ((a[live] == b[live]) | (mine[live] != mine[j])) & (ids[live] != ids[j])
+        if not chained:
+            take &= root[live] != root[j]
+        i, k = live[take], j[take]
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[k])), pa.array(np.maximum(ids[i], ids[k]))], names=["u", "v"])
+        if chained:
+            return
+
+
+def _candidates(rows: DataFrame, similarity: float, chained: bool, chunk: int) -> DataFrame:
+    """rows (s, id, n, at, root) -> distinct (u, v)."""
+    large = materialise(rows.groupBy("s").count().filter(F.col("count") > chunk).select("s", F.ceil(F.col("count") / chunk).cast("int").alias("chunks")), "large-buckets")
+    if not chained and large.head(1) != []:
+        rows = rows.join(large, "s", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        rows = rows.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    else:
+        rows = rows.withColumn("mine", F.lit(0)).withColumn("other", F.lit(0))
+    keyed = rows.select("s", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "n", "id", "at", "mine", "root")
+
+    def run(batches):
+        for columns in _runs_of_buckets(batches, 3):
+            yield from _bucket_pairs(columns, similarity, chained)
+
+    found = keyed.repartition("s", "a", "b").sortWithinPartitions("s", "a", "b", "n", "id").mapInArrow(lean(run), "u long, v long")
+    return found.distinct()
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs (u, v), those whose shingle sets have that Jaccard similarity: by parity first, which drops none of them, then by the sets."""
+    num, den = share(similarity)
+    nodes = nodes.select("id", "mark", "n", "parity")
+    one = nodes.select(F.col("id").alias("u"), F.col("mark").alias("u_mark"), F.col("n").alias("u_n"), F.col("parity").alias("u_parity"))
+    two = nodes.select(F.col("id").alias("v"), F.col("mark").alias("v_mark"), F.col("n").alias("v_n"), F.col("parity").alias("v_parity"))
+
+    def sift(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PARITY_BYTES) for c in ("u_parity", "v_parity"))
+            apart = np.unpackbits(x ^ y, axis=1).sum(axis=1, dtype=np.int64)
+            both = np.asarray(batch.column("u_n")) + np.asarray(batch.column("v_n"))
+            yield batch.select(["u", "v", "u_mark", "v_mark"]).filter(pa.array(apart * (num + den) <= (den - num) * both))
+
+    left = materialise(pairs.join(one, "u").join(two, "v").mapInArrow(lean(sift), "u long, v long, u_mark long, v_mark long"), "sifted-pairs")
+    marks = left.select(F.col("u_mark").alias("mark")).union(left.select("v_mark")).distinct()
+    texts = docs.select(F.xxhash64("text").alias("mark"), "text").join(marks, "mark", "left_semi").dropDuplicates(["mark"])
+
+    def sets(batches):
+        for batch in batches:
+            found = [shingle_set(x).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["mark", "shingles"])
+
+    known = materialise(texts.mapInArrow(lean(sets), "mark long, shingles binary"), "candidate-shingles")
+    one = known.select(F.col("mark").alias("u_mark"), F.col("shingles").alias("u_set"))
+    two = known.select(F.col("mark").alias("v_mark"), F.col("shingles").alias("v_set"))
+
+    def judge(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("u_set"), batch.column("v_set"), strict=True):
+                x, y = (np.frombuffer(z.as_py(), np.uint64) for z in (x, y))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(den * shared >= num * (len(x) + len(y) - shared))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return left.join(one, "u_mark").join(two, "v_mark").mapInArrow(lean(judge), "u long, v long")
+
+
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, chunk: int = WIDE_CHUNK) -> DataFrame:
+    """doc_id, mark and root (that names the group) of each row: groups of documents linked by that Jaccard similarity of their shingles, exactly."""
+    marked = materialise(_shingled(docs, similarity), "shingled")
+    nodes = materialise(marked.groupBy("id").agg(F.min_by(F.struct("mark", "n", "parity", "prefix"), "mark").alias("x")).select("id", "x.*"), "shingle-sets")
+    rows = nodes.select("id", "n", F.posexplode("prefix").alias("at", "s"))
+    shared = rows.groupBy("s").count().filter("count > 1").select("s")
+    rows = materialise(rows.join(shared, "s", "left_semi"), "shared-shingles")
+    # neighbours first: what they link need not be compared again
+    chains = materialise(_verified(_candidates(rows.withColumn("root", F.col("id")), similarity, True, chunk), nodes, docs, similarity), "chains")
+    roots = components(chains)
+    rooted = rows.join(roots.withColumnRenamed("v", "root"), F.col("id") == F.col("u"), "left").select("s", "id", "n", "at", F.coalesce("root", "id").alias("root"))
+    rest = _verified(_candidates(rooted, similarity, False, chunk), nodes, docs, similarity)
+    stars = materialise(components(chains.unionByName(rest)), "wide-stars")
     return marked.join(stars, marked["id"] == stars["u"], "left").select("doc_id", "mark", F.coalesce("v", "id").alias("root"))
 
 

@@ -181,3 +181,38 @@ def test_query_equals_brute_force(spark, sf_dir):
     comp = brute_components([r.doc_id for r in rows], fps)
     got = sorted(map(tuple, s.op8_simhash(spark, sf_dir).collect()))
     assert got == sorted((r.doc_id, f"{f:016x}", c) for r, f, c in zip(rows, fps, comp))
+
+
+def test_groups_are_those_of_exact_jaccard(spark):
+    """Pairs about 0.8, some just over and some just under, group exactly as brute force says."""
+    rng = random.Random(21)
+    texts, pairs = [], []
+    for i in range(150):
+        base = [f"v{i}x{rng.randrange(10**6)}" for _ in range(rng.randrange(80, 900))]
+        other = list(base)
+        for _ in range(max(1, round(len(base) * rng.uniform(0.015, 0.04)))):
+            other[rng.randrange(len(other))] = f"n{rng.randrange(10**9)}"
+        texts += [base, other]
+        pairs.append(jaccard(base, other))
+    assert sum(0.75 <= j < 0.8 for j in pairs) > 10 and sum(0.8 <= j < 0.85 for j in pairs) > 10
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    root = {r.doc_id: r.root for r in s.similar_groups(docs).collect()}
+    assert [root[2 * i] == root[2 * i + 1] for i in range(150)] == [j >= 0.8 for j in pairs]
+
+
+@pytest.mark.parametrize("common", [2, 20])
+def test_groups_of_many_alike(spark, monkeypatch, common):
+    """Versions of a few texts, with a preface that all share: brute force over all pairs, with common shingles last or not."""
+    monkeypatch.setattr(s, "COMMON", common)
+    rng = random.Random(4)
+    preface, texts = [f"p{i}" for i in range(40)], []
+    for b in range(5):
+        now = preface + [f"b{b}w{i}" for i in range(150)]
+        for _ in range(16):
+            now = edited(now, rng.randrange(1, 6), rng)
+            texts.append(now)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    root = {r.doc_id: r.root for r in s.similar_groups(docs, chunk=6).collect()}
+    label = brute_groups(texts, lambda i, j: jaccard(texts[i], texts[j]) >= 0.8)
+    assert all((root[i] == root[j]) == (label[i] == label[j]) for i in range(80) for j in range(i))
+    assert 5 < len(set(label)) < 80
