@@ -63,8 +63,9 @@ WIDE_SHINGLE, SIMILARITY = 5, 0.8
 #: Wide fingerprints: words of 64 bits, and room in standard deviations.
 WIDE_WORDS, SPREAD = 8, 1.5
 WIDE_CHUNK = 16_384
-#: Bytes of a set's parities; documents in which common shingles are sought, in how many of them, and the most kept.
-PARITY_BYTES = 128
+#: Fewest bits of a set's parity, and the most marks of candidates that are broadcast; beyond, texts are shuffled.
+LEAST_PARITY, FEW_MARKS = 512, 2_000_000
+#: Documents in which common shingles are sought, in how many of them, and the most kept.
 SAMPLE, COMMON, MOST_COMMON = 20_000, 20, 100_000
 #: Rows of sorted buckets that a task compares together.
 ROWS_AT_ONCE = 16_384
@@ -382,11 +383,21 @@ def prefix_length(n: int, similarity: float) -> int:
 
 
 def parity(h: np.ndarray) -> bytes:
-    """Bits that each shingle flips one of: two sets differ by at least as many shingles as their parities do by bits."""
-    odd = np.bincount((mixed(h) % np.uint64(8 * PARITY_BYTES)).astype(np.int64), minlength=8 * PARITY_BYTES) & 1
+    """Bits that each shingle flips one of: two sets differ by at least as many shingles as their parities do by bits.
+
+    A power of two of bits, no fewer than shingles.
+    """
+    bits = max(LEAST_PARITY, 1 << max(0, len(h) - 1).bit_length())
+    odd = np.bincount((mixed(h) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def parities_apart(x: bytes, y: bytes) -> int:
+    """Bits by which two parities differ, the longer one folded to the length of the other."""
+    x, y = (np.frombuffer(z, np.uint8) for z in ((x, y) if len(x) <= len(y) else (y, x)))
+    return int.from_bytes((x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).tobytes(), "little").bit_count()
+
+
 def common_shingles(docs: DataFrame) -> np.ndarray:
     """Shingles of many documents of a bounded sample, in rising order; they come last in prefixes, which changes the cost alone."""
     if docs.select(F.count("*")).head()[0] <= SAMPLE:
@@ -505,13 +516,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: f
 
     def sift(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PARITY_BYTES) for c in ("u_parity", "v_parity"))
-            apart = np.unpackbits(x ^ y, axis=1).sum(axis=1, dtype=np.int64)
+            apart = np.array([parities_apart(x, y) for x, y in zip(batch.column("u_parity").to_pylist(), batch.column("v_parity").to_pylist(), strict=True)], np.int64)
             both = np.asarray(batch.column("u_n")) + np.asarray(batch.column("v_n"))
             yield batch.select(["u", "v", "u_mark", "v_mark"]).filter(pa.array(apart * (num + den) <= (den - num) * both))
 
     left = materialise(pairs.join(one, "u").join(two, "v").mapInArrow(lean(sift), "u long, v long, u_mark long, v_mark long"), "sifted-pairs")
-    marks = left.select(F.col("u_mark").alias("mark")).union(left.select("v_mark")).distinct()
+    marks = materialise(left.select(F.col("u_mark").alias("mark")).union(left.select("v_mark")).distinct(), "candidate-marks")
+    marks = F.broadcast(marks) if marks.count() <= FEW_MARKS else marks
     texts = docs.select(F.xxhash64("text").alias("mark"), "text").join(marks, "mark", "left_semi").dropDuplicates(["mark"])
 
     def sets(batches):
@@ -540,8 +551,8 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, chunk: int =
     marked = materialise(_shingled(docs, similarity), "shingled")
     nodes = materialise(marked.groupBy("id").agg(F.min_by(F.struct("mark", "n", "parity", "prefix"), "mark").alias("x")).select("id", "x.*"), "shingle-sets")
     rows = nodes.select("id", "n", F.posexplode("prefix").alias("at", "s"))
-    shared = rows.groupBy("s").count().filter("count > 1").select("s")
-    rows = materialise(rows.join(shared, "s", "left_semi"), "shared-shingles")
+    rows = rows.withColumn("of", F.count("*").over(Window.partitionBy("s"))).filter("of > 1").drop("of")
+    rows = materialise(rows, "shared-shingles")
     # neighbours first: what they link need not be compared again
     chains = materialise(_verified(_candidates(rows.withColumn("root", F.col("id")), similarity, True, chunk), nodes, docs, similarity), "chains")
     roots = components(chains)

@@ -53,3 +53,16 @@ def test_stages_keep_columns(spark):
 def test_stages_call_the_operators():
     assert [k for k, _ in c.STAGES] == ["quality_rules", "near_dedup", "substring_dedup", "mix_sources", "to_pieces"]
     assert os.path.basename(quality.__file__) == "quality.py"
+
+
+def test_near_dedup_equals_exact_jaccard(spark, sf_dir):
+    """The stage keeps the first document of each group linked by a Jaccard similarity of 0.8 or more, and every other document."""
+    from .test_simhash import jaccard
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r.doc_id, [w.lower() for w in words(r.text)]) for r in docs.select("doc_id", "text").collect()]
+    label = brute_groups(rows, lambda i, j: min(len(rows[i][1]), len(rows[j][1])) >= 0.5 * max(len(rows[i][1]), len(rows[j][1])) and jaccard(rows[i][1], rows[j][1]) >= 0.8)
+    first = {}
+    for r, k in zip(rows, label):
+        first[k] = min(first.get(k, r[0]), r[0])
+    assert sorted(r.doc_id for r in dict(c.STAGES)["near_dedup"](spark, docs, "").collect()) == sorted(first.values())

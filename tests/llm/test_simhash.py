@@ -216,3 +216,12 @@ def test_groups_of_many_alike(spark, monkeypatch, common):
     label = brute_groups(texts, lambda i, j: jaccard(texts[i], texts[j]) >= 0.8)
     assert all((root[i] == root[j]) == (label[i] == label[j]) for i in range(80) for j in range(i))
     assert 5 < len(set(label)) < 80
+
+
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (1, 300, 700, 1100, 5000):
+        h = rng.integers(0, 2**63, n).astype(np.uint64)
+        for k in (0, 1, n // 4, n):
+            other = np.unique(np.concatenate((h[k:], rng.integers(0, 2**63, n // 9).astype(np.uint64))))
+            assert s.parities_apart(s.parity(h), s.parity(other)) <= len(np.setxor1d(h, other))
