@@ -226,8 +226,7 @@ family("trigrams", "nation", ["n_nationkey"], {
 family("full_text", "documents", ["doc_id"], {
     "the": (lambda: f["ts_match"](f["to_tsvector"]("simple", c("text")), "'the'"), "list_contains(string_split_regex(lower(text), '[^a-z]+'), 'the')"),
     "both": (lambda: f["ts_match"](f["to_tsvector"]("simple", c("text")), "'and' & 'the'"), "list_contains(string_split_regex(lower(text), '[^a-z]+'), 'the') AND list_contains(string_split_regex(lower(text), '[^a-z]+'), 'and')"),
-}, "lang = 'en' AND text NOT LIKE '%@%' AND text NOT LIKE '%-%' AND text NOT LIKE '%<%' AND text NOT LIKE '%&%' AND text NOT LIKE '%http%' AND NOT regexp_like(text, '[0-9_]')")
-ORACLE_SQL["fn_full_text"] = ORACLE_SQL["fn_full_text"].replace("regexp_like(", "regexp_matches(")
+})
 family("xml", "nation", ["n_nationkey"], {
     "el": (lambda: f["xmlelement"]("n", f["xmltext"](c("n_name")), k=c("n_nationkey").cast("string")), "'<n k=\"' || n_nationkey || '\">' || n_name || '</n>'"),
     "fo": (lambda: f["xmlforest"](a=c("n_name"), b=c("n_regionkey")), "'<a>' || n_name || '</a><b>' || n_regionkey || '</b>'"),

@@ -23,6 +23,7 @@ WHOLE = {
     "fn_numbers_more": "part",
     "fn_mysql_dates": "events",
     "fn_times_and_intervals": "events",
+    "fn_full_text": "documents",
 }
 
 
