@@ -103,12 +103,12 @@ def quantified_all(spark, d):
     return joins.all_of(t(spark, d, "supplier"), F.col("s_acctbal"), t(spark, d, "customer").filter("c_nationkey = 3 AND c_acctbal > 0"), "c_acctbal", "<").select("s_suppkey")
 
 
-_GROUPS_SQL = "SELECT l_orderkey, l_linenumber, count(*) OVER w AS n, round(sum(l_quantity) OVER w, 2) AS s FROM lineitem WHERE l_orderkey < 2000 WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_quantity GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING)"
+_GROUPS_SQL = "SELECT l_orderkey, l_linenumber, count(*) OVER w AS n, round(sum(l_quantity) OVER w, 2) AS s FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_quantity GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING)"
 
 
 @query(_GROUPS_SQL)
 def win_groups_frame(spark, d):
-    df = t(spark, d, "lineitem").filter("l_orderkey < 2000").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    df = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
     return frames.groups(df, ["l_returnflag"], [F.col("l_quantity").asc_nulls_last()], -1, 1, {"n": lambda: F.count("*"), "s": lambda: F.sum("l_quantity")}).select("l_orderkey", "l_linenumber", "n", F.round("s", 2).alias("s"))
 
 
@@ -180,12 +180,12 @@ def recursive_union(spark, d):
     return recursion.recursive_union(seed, lambda df: df.select(((F.col("k") * 3 + 1) % 101).alias("k")))
 
 
-_EDGES = "(SELECT s_suppkey AS a, (s_suppkey * 2) % 11 AS b FROM supplier WHERE s_suppkey < 11 UNION SELECT s_suppkey, (s_suppkey + 3) % 11 FROM supplier WHERE s_suppkey < 11)"
+_EDGES = "(SELECT s_suppkey AS a, (s_suppkey * 2) % 11 AS b FROM supplier UNION SELECT s_suppkey, (s_suppkey + 3) % 11 FROM supplier)"
 
 
 @query(f"WITH RECURSIVE e AS {_EDGES}, w(k, depth, path, is_cycle) AS (SELECT 1::BIGINT, 0, [1::BIGINT], false UNION ALL SELECT b, depth + 1, list_append(path, b), list_contains(path, b) FROM w JOIN e ON a = k WHERE NOT is_cycle AND depth < 60) SELECT k, depth, array_to_string(path, '>') AS path, is_cycle FROM w")
 def recursive_cycle(spark, d):
-    s = t(spark, d, "supplier").filter("s_suppkey < 11")
+    s = t(spark, d, "supplier")
     edges = s.select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") * 2 % 11).alias("b")).union(s.select("s_suppkey", ((F.col("s_suppkey") + 3) % 11))).distinct()
     out = recursion.walk(spark.range(1).select(F.lit(1).cast("long").alias("k")), edges, "k", "a", "b")
     return out.select("k", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "is_cycle")

@@ -24,6 +24,7 @@ WHOLE = {
     "fn_mysql_dates": "events",
     "fn_times_and_intervals": "events",
     "fn_full_text": "documents",
+    "win_groups_frame": "lineitem",
 }
 
 
