@@ -25,6 +25,12 @@ WHOLE = {
     "fn_times_and_intervals": "events",
     "fn_full_text": "documents",
     "win_groups_frame": "lineitem",
+    "project_expressions": "lineitem",
+    "like_family": "part",
+    "casts": "lineitem",
+    "win_ranking_ties": "lineitem",
+    "win_default_frame_ties": "lineitem",
+    "date_arithmetic": "lineitem",
 }
 
 
