@@ -82,11 +82,11 @@ _search("depth first", "path")
 _search("breadth first", "depth, path")
 
 
-_PROPS = "SELECT event_id, '{\"t\": \"' || event_type || '\", \"u\": [' || user_id || ', ' || (user_id + 1) || ']}' AS doc FROM events WHERE event_id < 300"
+_PROPS = "SELECT event_id, '{\"t\": \"' || event_type || '\", \"u\": [' || user_id || ', ' || (user_id + 1) || ']}' AS doc FROM events"
 
 
 def _docs(spark, d):
-    e = t(spark, d, "events").filter("event_id < 300")
+    e = t(spark, d, "events")
     return e.select("event_id", F.format_string('{"t": "%s", "u": [%d, %d]}', "event_type", "user_id", F.col("user_id") + 1).alias("doc"))
 
 
@@ -122,9 +122,9 @@ def jsonb_path_query(spark, d):
     return _docs(spark, d).select("event_id", F.explode(f["jsonb_path_query"](F.col("doc"), F.lit("$.u[*] ? (@ > 50)"))).alias("u"))
 
 
-@query("SELECT p_partkey, unnest(string_split_regex(p_type, '[ _]+')) AS w FROM part WHERE p_partkey <= 200")
+@query("SELECT p_partkey, unnest(string_split_regex(p_type, '[ _]+')) AS w FROM part")
 def regexp_split_to_table(spark, d):
-    return t(spark, d, "part").filter("p_partkey <= 200").select("p_partkey", F.explode(f["regexp_split_to_array"](F.col("p_type"), "[ _]+")).alias("w"))
+    return t(spark, d, "part").select("p_partkey", F.explode(f["regexp_split_to_array"](F.col("p_type"), "[ _]+")).alias("w"))
 
 
 @query("SELECT n_nationkey, unnest([n_name, 'x', 'y']) AS a, unnest([n_regionkey, NULL, NULL]) AS b FROM nation")
@@ -133,9 +133,9 @@ def rows_from(spark, d):
     return out.select("n_nationkey", "a", "b")
 
 
-@query("SELECT p_partkey, unnest(range(1, len(string_split(p_name, ' ')) + 1))::INT AS i FROM part WHERE p_partkey <= 200")
+@query("SELECT p_partkey, unnest(range(1, len(string_split(p_name, ' ')) + 1))::INT AS i FROM part")
 def generate_subscripts(spark, d):
-    return t(spark, d, "part").filter("p_partkey <= 200").select("p_partkey", f["generate_subscripts"](F.split("p_name", " ")).alias("i"))
+    return t(spark, d, "part").select("p_partkey", f["generate_subscripts"](F.split("p_name", " ")).alias("i"))
 
 
 @query("SELECT o_custkey % 7 AS k, count(*) AS n FROM orders GROUP BY 1")

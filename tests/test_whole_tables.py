@@ -31,6 +31,7 @@ WHOLE = {
     "win_ranking_ties": "lineitem",
     "win_default_frame_ties": "lineitem",
     "date_arithmetic": "lineitem",
+    "json_to_record": "events",
 }
 
 
