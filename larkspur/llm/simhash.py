@@ -12,19 +12,21 @@ as arrays.  A bucket passes on a star of links to a linked node, never all
 pairs.  Buckets of more than CHUNK nodes are cut into chunks, and each pair of
 chunks is a task of its own.
 
-Buckets of `near_duplicates` (64 bits, radius RADIUS, XXH64 with seed 42): the
-bits are cut into RADIUS + k blocks.  At most RADIUS of them can differ, so a
-linked pair agrees on some k blocks: there is a table for each choice of k.  k
-grows with the number of nodes so that buckets stay small; any k finds every
-link.
-
-`similar_groups` goes by the exact Jaccard similarity of sets of five-word
-shingles (as 64-bit hashes) instead.  Candidates come from prefixes: in an
-order that all sets share, two similar sets have one of their first shingles in
-common, about a fifth of them at 0.8.  Sizes, places in the prefix and parities
-drop only pairs that cannot be similar, and each pair left is decided by its
-sets, so no link is lost and none is made below the similarity.  Neighbours in
-buckets are compared first; then only pairs that these links leave apart.
+Buckets (64 bits, radius RADIUS, XXH64 with seed 42): the bits are cut into
+RADIUS + EQUAL blocks.  At most RADIUS of them can differ, so a linked pair
+agrees on some EQUAL blocks: there is a table for each choice of them, the same
+ones at every number of nodes.
+
+`similar_groups` is the same comparison of fingerprints over five-word
+shingles, followed by an exact check: a link stands only if the Jaccard
+similarity of the two sets of shingles (as 64-bit hashes) is high enough.  So
+few bits find the closest copies alone, so an exact way for the rest goes on
+from there: prefixes.  In an order that all sets share, two similar sets have
+one of their first shingles in common, about a fifth of them at 0.8.  Sizes,
+places in the prefix and parities drop only pairs that cannot be similar, and
+each pair left is decided by its sets, so no link is lost and none is made
+below the similarity.  Links of fingerprints and neighbours in buckets are
+decided first; then only pairs that these links leave apart.
 
 Defined results: null and wordless texts have fingerprint 0 and link like any
 other; a null doc_id is larger than all others, and the component of a group
@@ -34,7 +36,6 @@ no rows; further columns are ignored.
 
 from __future__ import annotations
 
-import math
 from fractions import Fraction
 from itertools import combinations
 
@@ -46,26 +47,24 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 from .components import components
-from .words import MASK, lean, mixed, ship
+from .words import lean, mixed, ship
 
 SEED = 42
 SHINGLE = 4
 RADIUS = 4
 CHUNK = 4096
-#: Largest numbers of nodes for which pairs are sought by one and by two equal blocks; beyond, by three.
-ONE_BLOCK, TWO_BLOCKS = 2**19, 2**27
+#: Blocks that a linked pair has in common in one table or another.
+EQUAL = 2
 #: (query, block of 64 lanes) elements compared at once.
 SLAB = 1 << 18
 #: Planes between two looks at which blocks can be abandoned, for small and for large radii.
 STRIDE, WIDE_STRIDE = 8, 64
 #: Near-duplicates by similarity: words to a shingle, and the similarity.
 WIDE_SHINGLE, SIMILARITY = 5, 0.8
-#: Wide fingerprints: words of 64 bits, and room in standard deviations.
-WIDE_WORDS, SPREAD = 8, 1.5
 WIDE_CHUNK = 16_384
 #: Fewest bits of a set's parity, and the most marks of candidates that are broadcast; beyond, texts are shuffled.
 LEAST_PARITY, FEW_MARKS = 512, 2_000_000
-#: Documents in which common shingles are sought, in how many of them, and the most kept.
+#: Documents in which common shingles are sought (about so many), in how many of them, and the most kept.
 SAMPLE, COMMON, MOST_COMMON = 20_000, 20, 100_000
 #: Rows of sorted buckets that a task compares together.
 ROWS_AT_ONCE = 16_384
@@ -86,12 +85,16 @@ def shingle_hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts.tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)), np.uint64, n - shingle + 1)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    h = shingle_hashes(text, shingle, seed)
+def votes(h: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes; 0 for none."""
     if not len(h):
         return 0
-    votes = np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > len(h)).tobytes(), "big")
+    count = np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * count > len(h)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    return votes(shingle_hashes(text, shingle, seed))
 
 
 def split_lower(text: str | None) -> list[bytes]:
@@ -331,41 +334,16 @@ def _star_links(keyed: DataFrame, radius: int, chunk: int) -> DataFrame:
     return ordered.mapInArrow(lean(lambda batches: _compare_groups(batches, radius)), "u long, v long")
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, equal: int = EQUAL) -> DataFrame:
     """nodes (fp, distinct longs) -> (u, v): links whose components are those of all pairs within the radius."""
     ship(nodes.sparkSession)
-    n = nodes.count()
-    masks = block_masks(radius, 1 if n <= ONE_BLOCK else 2 if n <= TWO_BLOCKS else 3)
     keyed = nodes.select(
         "fp",
-        F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(masks)])).alias("x"),
+        F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(block_masks(radius, equal))])).alias("x"),
     ).select("x.t", "x.k", F.col("fp").alias("id"), "fp")
     return _star_links(keyed, radius, chunk)
 
 
-def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE, words: int = WIDE_WORDS) -> bytes:
-    """64 * words votes of word shingles; a shingle's later words of hash bits are mixed from the first."""
-    h = shingle_hashes(text, shingle, SEED)
-    if not len(h):
-        return bytes(8 * words)
-    out = []
-    for w in range(words):
-        votes = np.unpackbits((mixed(h + np.uint64(w * 0x9E3779B97F4A7C15 & MASK)) if w else h).astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
-        out.append(np.packbits(2 * votes > len(h), bitorder="little").tobytes())
-    return b"".join(out)
-
-
-def angle_share(similarity: float) -> float:
-    """The share of bits by which SimHashes of two sets of that Jaccard similarity, and equal size, differ on average."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-
-def wide_radius(similarity: float = SIMILARITY, words: int = WIDE_WORDS, spread: float = SPREAD) -> int:
-    """Bits by which a pair of that similarity differs, with `spread` standard deviations of room."""
-    p, bits = angle_share(similarity), 64 * words
-    return round(bits * p + spread * math.sqrt(bits * p * (1 - p)))
-
-
 def shingle_set(text: str | None, shingle: int = WIDE_SHINGLE) -> np.ndarray:
     """The distinct shingle hashes in rising order."""
     return np.unique(shingle_hashes(text, shingle, SEED))
@@ -416,15 +394,17 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def _shingled(docs: DataFrame, similarity: float) -> DataFrame:
-    """doc_id, mark, id (of the shingle set), n (its size), its parity, and its prefix."""
+    """doc_id, mark, id (of the shingle set), fp, n (its size), its parity, and its prefix."""
     ship(docs.sparkSession)
     common = common_shingles(docs)
 
     def run(batches):
         for batch in batches:
-            ids, sizes, parities, prefixes = [], [], [], []
+            ids, fps, sizes, parities, prefixes = [], [], [], [], []
             for text in batch.column(2).to_pylist():
-                h = shingle_set(text)
+                h = shingle_hashes(text, WIDE_SHINGLE, SEED)
+                fps.append(votes(h))
+                h = np.unique(h)
                 ids.append(xxhash.xxh3_64_intdigest(h.tobytes()))
                 sizes.append(len(h))
                 parities.append(parity(h))
@@ -432,11 +412,11 @@ def _shingled(docs: DataFrame, similarity: float) -> DataFrame:
                     last = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
                     h = np.concatenate((h[~last], h[last]))
                 prefixes.append(h[: prefix_length(len(h), similarity)].view(np.int64))
-            columns = [pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(parities, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "mark", "id", "n", "parity", "prefix"])
+            columns = [*(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (ids, fps)), pa.array(sizes, pa.int64()), pa.array(parities, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "mark", "id", "fp", "n", "parity", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(lean(run), f"doc_id {kind}, mark long, id long, n long, parity binary, prefix array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(lean(run), f"doc_id {kind}, mark long, id long, fp long, n long, parity binary, prefix array<long>")
 
 
 def _runs_of_buckets(batches, keys: int):
@@ -479,9 +459,7 @@ def _bucket_pairs(columns: list[np.ndarray], similarity: float, chained: bool):
         j = live + step
         # the first shingle that two sets share has at most the shorter rest of shingles after it in common
         most = 1 + np.minimum(n[live] - at[live], n[j] - at[j]) - 1
-        take = (most * (num + den) >= num * (n[live] + n[j])) & ((a[live] == b[live]) | (mine[live] != mine[j])) & (ids[live] != ids[j])
-        if not chained:
-            take &= root[live] != root[j]
+        take = (most * (num + den) >= num * (n[live] + n[j])) & ((a[live] == b[live]) | (mine[live] != mine[j])) & (root[live] != root[j])
         i, k = live[take], j[take]
         if len(i):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[k])), pa.array(np.maximum(ids[i], ids[k]))], names=["u", "v"])
@@ -549,12 +527,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: f
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, chunk: int = WIDE_CHUNK) -> DataFrame:
     """doc_id, mark and root (that names the group) of each row: groups of documents linked by that Jaccard similarity of their shingles, exactly."""
     marked = materialise(_shingled(docs, similarity), "shingled")
-    nodes = materialise(marked.groupBy("id").agg(F.min_by(F.struct("mark", "n", "parity", "prefix"), "mark").alias("x")).select("id", "x.*"), "shingle-sets")
+    nodes = materialise(marked.groupBy("id").agg(F.min_by(F.struct("mark", "fp", "n", "parity", "prefix"), "mark").alias("x")).select("id", "x.*"), "shingle-sets")
     rows = nodes.select("id", "n", F.posexplode("prefix").alias("at", "s"))
     rows = rows.withColumn("of", F.count("*").over(Window.partitionBy("s"))).filter("of > 1").drop("of")
     rows = materialise(rows, "shared-shingles")
-    # neighbours first: what they link need not be compared again
-    chains = materialise(_verified(_candidates(rows.withColumn("root", F.col("id")), similarity, True, chunk), nodes, docs, similarity), "chains")
+    # links of fingerprints, and neighbours: what they link need not be compared again
+    first = _near_sets(nodes).union(_candidates(rows.withColumn("root", F.col("id")), similarity, True, chunk)).distinct()
+    chains = materialise(_verified(first, nodes, docs, similarity), "chains")
     roots = components(chains)
     rooted = rows.join(roots.withColumnRenamed("v", "root"), F.col("id") == F.col("u"), "left").select("s", "id", "n", "at", F.coalesce("root", "id").alias("root"))
     rest = _verified(_candidates(rooted, similarity, False, chunk), nodes, docs, similarity)
@@ -562,6 +541,16 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, chunk: int =
     return marked.join(stars, marked["id"] == stars["u"], "left").select("doc_id", "mark", F.coalesce("v", "id").alias("root"))
 
 
+def _near_sets(nodes: DataFrame) -> DataFrame:
+    """nodes (id, fp) -> (u, v): of nodes with one fingerprint, each with the smallest; of linked fingerprints, the smallest of both."""
+    least = materialise(nodes.groupBy("fp").agg(F.min("id").alias("least")), "set-fingerprints")
+    same = nodes.select("id", "fp").join(least, "fp").filter("id <> least").select(F.col("least").alias("u"), F.col("id").alias("v"))
+    one = least.select(F.col("fp").alias("u"), F.col("least").alias("i"))
+    two = least.select(F.col("fp").alias("v"), F.col("least").alias("j"))
+    near = links(least.select("fp")).join(one, "u").join(two, "v").select(F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v"))
+    return same.union(near)
+
+
 def marked_components(docs: DataFrame) -> DataFrame:
     """doc_id, mark, fp, root (a fingerprint that names the component) and component_id of each row."""
     marked = materialise(fingerprints(docs), "fingerprints")
@@ -581,7 +570,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group of similar ones, that with the smallest doc_id, with the columns of docs.
 
-    Of several rows with that doc_id, the one with the smallest hash of its text stays.
+    Of several rows with that doc_id, the one with the smallest hash of its text
+    stays; of rows alike in both, that with the smallest hash of all columns.
+    All null and wordless documents are one group.
     """
     key = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))
     first = F.min(F.struct(key.alias("_key"), F.col("mark").alias("_mark")))

@@ -2,20 +2,20 @@ import os
 from collections import Counter
 
 import corpus_pipeline as c
-from larkspur.llm import pieces, quality, simhash
+from larkspur.llm import pieces, quality
 
 from .common import awkward, empty, words
 from .test_quality import brute as judged
 from .test_sharding_mixing import brute_mix
-from .test_simhash import brute_groups
+from .test_simhash import brute_groups, jaccard
 from .test_substrings import brute as removed
 
 
 def brute(rows):
     """(doc_id, text) of every row that reaches the last stage, by brute-force versions of the stages."""
     rows = [r for r in rows if judged(r[1])[-1]]
-    fps = [int.from_bytes(simhash.wide_fingerprint(r[1]), "little") for r in rows]
-    label = brute_groups(rows, lambda i, j: (fps[i] ^ fps[j]).bit_count() <= simhash.wide_radius())
+    lower = [[w.lower() for w in words(r[1])] for r in rows]
+    label = brute_groups(rows, lambda i, j: jaccard(lower[i], lower[j]) >= 0.8)
     first = {}
     for r, k in zip(rows, label):
         first[k] = min(first.get(k, r[0]), r[0])
@@ -57,8 +57,6 @@ def test_stages_call_the_operators():
 
 def test_near_dedup_equals_exact_jaccard(spark, sf_dir):
     """The stage keeps the first document of each group linked by a Jaccard similarity of 0.8 or more, and every other document."""
-    from .test_simhash import jaccard
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, [w.lower() for w in words(r.text)]) for r in docs.select("doc_id", "text").collect()]
     label = brute_groups(rows, lambda i, j: min(len(rows[i][1]), len(rows[j][1])) >= 0.5 * max(len(rows[i][1]), len(rows[j][1])) and jaccard(rows[i][1], rows[j][1]) >= 0.8)
