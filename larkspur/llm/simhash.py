@@ -377,18 +377,17 @@ def parities_apart(x: bytes, y: bytes) -> int:
 
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles of many documents of a bounded sample, in rising order; they come last in prefixes, which changes the cost alone."""
-    if docs.select(F.count("*")).head()[0] <= SAMPLE:
-        few = docs.select("text")
-    else:
-        few = docs.select("text").orderBy(F.xxhash64("text")).limit(SAMPLE)
+    """Shingles of many documents of a sample by the hash of the text, in rising order; they come last in prefixes, which changes the cost alone."""
+    n = docs.count()
+    few = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < (SAMPLE << 40) // max(n, SAMPLE))
 
     def run(batches):
         for batch in batches:
             sets = [shingle_set(x) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["s"])
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["s"])
 
-    counts = few.distinct().mapInArrow(lean(run), "s long").groupBy("s").count().filter(F.col("count") >= COMMON)
+    counts = few.mapInArrow(lean(run), "s long").groupBy("s").count().filter(F.col("count") >= COMMON)
     rows = counts.orderBy(F.desc("count"), "s").limit(MOST_COMMON).collect()
     return np.sort(np.array([r.s for r in rows], np.int64).view(np.uint64))
 
@@ -577,10 +576,9 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     key = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))
     first = F.min(F.struct(key.alias("_key"), F.col("mark").alias("_mark")))
     keep = materialise(similar_groups(docs, similarity).groupBy("root").agg(first.alias("x")).select("x.*"), "kept")
-    mine = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    rows = docs.select(key.alias("_key"), F.xxhash64("text").alias("_mark"), mine).join(keep, ["_key", "_mark"], "left_semi")
-    nth = F.row_number().over(Window.partitionBy("_key", "_mark").orderBy("_key"))
-    return rows.withColumn("_nth", nth).filter("_nth = 1").select("_row.*")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(key.alias("_key"), F.xxhash64("text").alias("_mark"), row.alias("_row")).groupBy("_key", "_mark").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return rows.join(keep, ["_key", "_mark"], "left_semi").select("_row.*")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
