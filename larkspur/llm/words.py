@@ -19,14 +19,16 @@ MASK = (1 << 64) - 1
 _shipped: set[str] = set()
 
 
-#: Rows to an Arrow batch, in place of Spark's 10,000: whole texts are long, and both JVM and Python hold a batch of each task.
-BATCH_ROWS = 1_000
+#: Rows and bytes to an Arrow batch, in place of Spark's own: whole texts are long, and both JVM and Python hold a batch of each task.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 
 
 def ship(spark) -> None:
     """Give this package to the executors, once for each application, and keep Arrow batches small unless the session has a size of its own."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
