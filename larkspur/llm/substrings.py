@@ -1,30 +1,34 @@
 """Substring deduplication over super-k-mers.
 
-A window is WINDOW consecutive words.  Its minimiser is the least hash of the
-runs of GRAM words in it.  Consecutive windows that share their minimiser
-travel as one packed string (the words they span) to the bucket of that
-minimiser; equal windows have equal minimisers, so they meet there.  In a
-bucket, strings alone with their minimiser need no look at all; of the others,
-windows are sorted by a hash, windows with equal hashes are compared word by
-word, and each distinct window gets the smallest doc_id it starts in.
+A window is WINDOW consecutive words.  Its minimiser is the least of the runs
+of GRAM words in it, in an order by hash in which hot runs come last.
+Consecutive windows that share their minimiser travel as one packed string (the
+words they span) to the bucket of that minimiser; equal windows have equal
+minimisers, so they meet there.  In a bucket, strings alone with their
+minimiser need no look at all; of the others, windows are sorted by a hash,
+windows with equal hashes are compared word by word, and each distinct window
+gets the smallest doc_id it starts in.
 
 Three readings of the documents, each a pure function of its input split:
-1. totals, and the hot minimisers: those with a ten-thousandth of all strings
-   and more of them than a bucket should take;
+1. totals, and the hot runs: those with HOT_SHARE of all runs;
 2. packed strings to the buckets (equal strings of a task travel once);
 3. keys of the strings of each document, joined with what the buckets found.
 Then each document meets its found windows once, to drop the covered words.
 
-Hot groups: the strings of a hot minimiser are cut to single windows, each
-sent by its own hash, so they spread; there are at most 20,000 hot minimisers,
-which is what is broadcast.  Strings that many documents share are joined by
-key, which AQE splits when skewed.
+Hot groups: a passage that many documents share consists of hot runs.  Windows
+that reach out of it hold others, and go by those, so they spread with the
+texts around it; windows within it are the same strings everywhere, which a
+task sends once.  The order changes where a window goes, not the number of
+strings.  There are at most 2 / HOT_SHARE hot runs, which is what every task
+gets to know.  A bucket's windows are sorted PASS_WINDOWS at a time, in passes
+by hash.  Strings that many documents share are joined by key, which AQE splits
+when skewed.
 
 Defined results: null texts have no words; a null doc_id is neither smaller
 nor larger than another, so such a document keeps all its words; repeated rows
 do not repeat each other (their doc_id is not smaller); documents of fewer
 words than a window keep all; empty tables give no rows; further columns are
-ignored or carried along.
+ignored or carried along.  doc_id is an integer.
 """
 
 from __future__ import annotations
@@ -42,15 +46,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .common import materialise, table
-from .words import MASK, Hashes, covered, hash_words, lean, mixed, ship, sliding_min, split, windows
+from .words import MASK, covered, lean, mixed, ship, sliding_min, token_hashes, tokens, windows
 
 WINDOW = 50
 GRAM = 8
 #: A super-k-mer is cut after so many windows, so that a bit of a long stands for each.
 MOST_WINDOWS = 64
-#: A minimiser with at least this share of all strings, and so many of them, is hot; half of the share is looked for in each task.
-HOT_SHARE = 1 / 10_000
-HOT_STRINGS = 20_000
+#: A run of words with at least this share of all runs is hot; half of the share is looked for in each block of runs.
+HOT_SHARE, HOT_BLOCK = 1 / 100_000, 1 << 22
+#: Windows that are sorted at once.
+PASS_WINDOWS = 1 << 21
 #: Windows to a bucket, and the most partitions that buckets are dealt to.
 BUCKET_WINDOWS = 600_000
 MOST_PARTITIONS = 20_000
@@ -58,11 +63,30 @@ MOST_PARTITIONS = 20_000
 FLUSH_BYTES = 32 << 20
 
 
-def super_kmers(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Hot:
+    """Runs of words, by hash, that come last in the order of minimisers."""
+
+    def __init__(self, hashes=()):
+        self.known = np.array(sorted(hashes), np.uint64)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.known >> np.uint64(44)).astype(np.int64)] = True
+
+    def order(self, grams: np.ndarray) -> np.ndarray:
+        """A value of each run: the hash without its last bit, and above it whether the run is hot."""
+        out = grams >> np.uint64(1)
+        if len(self.known):
+            at = np.flatnonzero(self.maybe[(grams >> np.uint64(44)).astype(np.int64)])
+            some = grams[at]
+            hot = self.known[np.minimum(np.searchsorted(self.known, some), len(self.known) - 1)] == some
+            out[at[hot]] |= np.uint64(1 << 63)
+        return out
+
+
+def super_kmers(h: np.ndarray, window: int = WINDOW, gram: int = GRAM, hot: Hot | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """From word hashes: the minimiser, first window and number of windows of each run."""
     if len(h) < window:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    least = sliding_min(windows(h, gram), window - gram + 1)
+    least = sliding_min((hot or Hot()).order(windows(h, gram)), window - gram + 1)
     first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
     size = np.diff(np.append(first, len(least)))
     if size.max() > MOST_WINDOWS:  # cut long runs
@@ -75,73 +99,65 @@ def super_kmers(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[
     return least[first], first, size
 
 
-class Cutter:
-    """Cuts texts into (route, first window, windows, packed string)."""
-
-    def __init__(self, hot: frozenset[int] = frozenset(), window: int = WINDOW):
-        self.known, self.window = Hashes(), window
-        self.hot = np.array(sorted(hot), np.uint64)
-
-    def minimisers(self, text: str | None) -> np.ndarray:
-        return super_kmers(hash_words(split(text), self.known), self.window)[0]
-
-    def cut(self, text: str | None):
-        words = split(text)
-        n = len(words)
-        if n < self.window:
-            return
-        h = hash_words(words, self.known)
-        route, first, size = super_kmers(h, self.window)
-        if len(self.hot):
-            found = np.isin(route, self.hot)
-            if found.any():
-                many = np.where(found, size, 1)
-                at = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                alone = np.repeat(found, many)
-                route = np.where(alone, windows(h, self.window)[at], np.repeat(route, many))
-                first, size = at, np.where(alone, 1, np.repeat(size, many))
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
-        begin = np.where(first > 0, ends[first - 1], 0)
-        end = ends[first + size + self.window - 2] - 1
-        for r, f, s, a, b in zip(route.tolist(), first.tolist(), size.tolist(), begin.tolist(), end.tolist(), strict=True):
-            yield r, f, s, joined[a:b]
+def _tokens(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    return tokens(text.encode("utf-8", "surrogatepass") if text else b"")
+
+
+def cut(text: str | None, hot: Hot, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Minimisers, first windows and packed strings of a text."""
+    joined, starts = _tokens(text)
+    route, first, size = super_kmers(token_hashes(joined, starts), window, hot=hot)
+    if not len(route):
+        return route, first, []
+    ends = np.append(starts[1:] - 1, len(joined))
+    data = joined.tobytes()
+    return route, first, [data[a:b] for a, b in zip(starts[first].tolist(), ends[first + size + window - 2].tolist(), strict=True)]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def survey(docs: DataFrame, window: int = WINDOW) -> tuple[int, list[int]]:
-    """The number of windows, and the hot minimisers.
+def survey(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[int, list[int]]:
+    """The number of windows, and the hot runs.
 
-    A task names the minimisers with HOT_SHARE / 2 of its own strings.  One with HOT_SHARE of all
-    strings gathers at least half of that in tasks that name it, and one that gathers as much is
-    taken as hot, so none is missed and at most 2 / HOT_SHARE are found.
+    Of each block of its runs, a task names those with HOT_SHARE / 2 of the block.  One with
+    HOT_SHARE of all runs gathers at least half of that in blocks that name it, and one that gathers
+    as much is taken as hot, so none is missed and at most 2 / HOT_SHARE are found.
     """
     ship(docs.sparkSession)
 
     def run(batches):
-        cutter, seen, total = Cutter(window=window), [], 0
+        held, n, windows_seen, runs_seen = [], 0, 0, 0
+
+        def named():
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            heavy = counts >= max(2, n * HOT_SHARE / 2)
+            return pa.RecordBatch.from_pydict({"key": pa.array(keys[heavy].view(np.int64)), "runs": pa.array(counts[heavy]), "windows": pa.array(np.zeros(int(heavy.sum()), np.int64))})
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                words = split(text)
-                total += max(0, len(words) - window + 1)
-                seen.append(super_kmers(hash_words(words, cutter.known), window)[0])
-        every = np.concatenate(seen) if seen else np.empty(0, np.uint64)
-        keys, counts = np.unique(every, return_counts=True)
-        heavy = counts >= max(2, len(every) * HOT_SHARE / 2)
-        yield pa.RecordBatch.from_pydict(
-            {"key": pa.array([None, *keys[heavy].view(np.int64).tolist()], pa.int64()), "strings": pa.array([len(every), *counts[heavy].tolist()], pa.int64()), "windows": pa.array([total, *[0] * int(heavy.sum())], pa.int64())}
-        )
-
-    found = docs.filter("doc_id IS NOT NULL").select("text").mapInArrow(lean(run), "key long, strings long, windows long")
-    sums = materialise(found.groupBy("key").agg(F.sum("strings").alias("strings"), F.sum("windows").alias("windows")), "minimisers")
+                joined, starts = _tokens(text)
+                if len(starts) < window:
+                    continue
+                windows_seen += len(starts) - window + 1
+                runs_seen += len(starts) - gram + 1
+                held.append(windows(token_hashes(joined, starts), gram))
+                n += len(held[-1])
+                if n >= HOT_BLOCK:
+                    yield named()
+                    held, n = [], 0
+        if n:
+            yield named()
+        yield pa.RecordBatch.from_pydict({"key": pa.array([None], pa.int64()), "runs": pa.array([runs_seen], pa.int64()), "windows": pa.array([windows_seen], pa.int64())})
+
+    found = docs.filter("doc_id IS NOT NULL").select("text").mapInArrow(lean(run), "key long, runs long, windows long")
+    sums = materialise(found.groupBy("key").agg(F.sum("runs").alias("runs"), F.sum("windows").alias("windows")), "hot-runs")
     total = sums.filter("key IS NULL").first()
     if total is None:
         return 0, []
-    least = max(HOT_STRINGS, total["strings"] * HOT_SHARE / 2)
-    return total["windows"], [r["key"] & MASK for r in sums.filter(F.col("key").isNotNull() & (F.col("strings") >= least)).collect()]
+    least = max(2, total["runs"] * HOT_SHARE / 2)
+    return total["windows"], [r["key"] & MASK for r in sums.filter(F.col("key").isNotNull() & (F.col("runs") >= least)).select("key").collect()]
 
 
 _HEAD = struct.Struct("<q")
@@ -168,10 +184,10 @@ def _unpack(blob: bytes):
 
 def _packed(docs: DataFrame, hot: list[int], buckets: int, window: int) -> DataFrame:
     """bucket, blob: the super-k-mers of all documents; equal strings of a flush are sent once."""
-    hot_set = frozenset(hot)
+    hashes = np.array(hot, np.uint64)
 
     def run(batches):
-        cutter, zip_ = Cutter(hot_set, window), zstandard.ZstdCompressor(level=3)
+        last, zip_ = Hot(hashes), zstandard.ZstdCompressor(level=3)
         held: dict[tuple[int, bytes], list[int]] = {}
         size = 0
 
@@ -189,7 +205,8 @@ def _packed(docs: DataFrame, hot: list[int], buckets: int, window: int) -> DataF
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for route, _, _, string in cutter.cut(text):
+                routes, _, strings = cut(text, last, window)
+                for route, string in zip(routes.tolist(), strings, strict=True):
                     have = held.get((route, string))
                     if have is None:
                         held[route, string] = [doc_id, doc_id]
@@ -212,30 +229,19 @@ def _slices(x: list, n: int):
 
 def _instances(docs: DataFrame, hot: list[int], window: int) -> DataFrame:
     """k1, k2 (key of the string), doc_id, mark, first (window) of every super-k-mer."""
-    hot_set = frozenset(hot)
+    hashes = np.array(hot, np.uint64)
 
     def run(batches):
-        cutter = Cutter(hot_set, window)
+        last = Hot(hashes)
         for batch in batches:
-            ids, marks, texts = (c.to_pylist() for c in batch.columns)
-            k1, k2, at, who = [], [], [], []
-            for i, text in enumerate(texts):
-                for route, first, _, string in cutter.cut(text):
-                    k1.append(route)
-                    k2.append(xxhash.xxh3_64_intdigest(string))
-                    at.append(first)
-                    who.append(i)
-            for some in _slices(range(len(who)), 100_000):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.array(k1[some.start : some.stop], np.uint64).view(np.int64)),
-                        pa.array(np.array(k2[some.start : some.stop], np.uint64).view(np.int64)),
-                        pa.array([ids[who[j]] for j in some], pa.int64()),
-                        pa.array([marks[who[j]] for j in some], pa.int64()),
-                        pa.array(at[some.start : some.stop], pa.int32()),
-                    ],
-                    names=["k1", "k2", "doc_id", "mark", "first"],
-                )
+            found = [cut(text, last, window) for text in batch.column(2).to_pylist()]
+            of = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
+            if not len(of):
+                continue
+            k1, first = (np.concatenate([x[i] for x in found]) for i in range(2))
+            k2 = np.fromiter((xxhash.xxh3_64_intdigest(string) for x in found for string in x[2]), np.uint64, len(of))
+            columns = [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(first.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "doc_id", "mark", "first"])
 
     rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     return rows.mapInArrow(lean(run), "k1 long, k2 long, doc_id long, mark long, first int")
@@ -273,42 +279,61 @@ def bucket_minima(entries, window: int = WINDOW):
         yield from _shared_minima(shared, window)
 
 
+def _string_windows(strings: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of each window of each string, and where in its string it begins and ends."""
+    joined = np.frombuffer(b" ".join(strings), np.uint8)
+    gaps = np.flatnonzero(joined == 0x20)
+    starts, ends = np.concatenate(([0], gaps + 1)), np.append(gaps, len(joined))
+    words = np.array([s.count(b" ") + 1 for s in strings])
+    before = np.cumsum(words) - words  # words of the strings before
+    count = words - window + 1
+    own = np.repeat(before - (np.cumsum(count) - count), count) + np.arange(count.sum())  # the first word of each window
+    base = np.repeat(starts[before], count)
+    return windows(token_hashes(joined, starts), window)[own], starts[own] - base, ends[own + window - 1] - base
+
+
 def _shared_minima(shared, window: int):
-    """Windows of several strings, sorted by hash; windows of one hash are compared word by word."""
-    known, hashes, offsets = Hashes(), [], []
-    for _, s, _, _ in shared:
-        words = s.split(b" ")
-        hashes.append(windows(hash_words(words, known), window))
-        ends = np.cumsum(np.fromiter(map(len, words), np.int32, len(words)) + 1)
-        offsets.append(np.stack([np.concatenate(([0], ends[: len(words) - window])), ends[window - 1 :] - 1]))
-    counts = np.fromiter(map(len, hashes), np.int64, len(hashes))
-    of = np.repeat(np.arange(len(shared)), counts)
-    every, spans = np.concatenate(hashes), np.concatenate(offsets, axis=1)
-    low = np.array([x[2] for x in shared], np.int64)[of]
-    order = np.argsort(every, kind="stable")
-    group = np.empty(len(every), np.int64)
-    ordered = every[order]
-    new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-    group[order] = np.cumsum(new) - 1
-    starts = np.flatnonzero(new)
-    # exactness: every window must equal the first of its hash; any that does not goes by its words
-    first = order[starts]
-
-    def words_of(i: int) -> bytes:
-        return shared[of[i]][1][spans[0, i] : spans[1, i]]
-
-    strays: dict[bytes, int] = {}
-    more = len(starts)
-    heads = first[group[order]]
-    for i, j in zip(order[~new].tolist(), heads[~new].tolist(), strict=True):
-        w = words_of(i)
-        if w != words_of(j):
-            group[i] = strays.setdefault(w, more)
-            more = max(more, group[i] + 1)
-    least = np.full(more, np.iinfo(np.int64).max)
-    np.minimum.at(least, group, low)
-    minima = least[group]
-    at = np.concatenate(([0], np.cumsum(counts)))
+    """Windows of several strings, sorted by hash; windows of one hash are compared word by word.
+
+    shared: (route, string, smallest doc, largest doc).  At most PASS_WINDOWS windows or so are held, in passes by hash.
+    """
+    count = np.array([s.count(b" ") + 2 - window for _, s, _, _ in shared])
+    at = np.concatenate(([0], np.cumsum(count)))
+    minima = np.empty(at[-1], np.int64)
+    of = np.repeat(np.arange(len(shared)), count)
+    low = np.array([x[2] for x in shared], np.int64)
+    passes = -(-int(at[-1]) // PASS_WINDOWS)
+    edges = np.unique(np.append(np.searchsorted(at, np.arange(0, at[-1], PASS_WINDOWS)), len(shared))).tolist()
+    for p in range(passes):
+        parts = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            every, begin, end = _string_windows([x[1] for x in shared[a:b]], window)
+            mine = np.flatnonzero(every % np.uint64(passes) == p) if passes > 1 else np.arange(len(every))
+            parts.append((every[mine], begin[mine], end[mine], mine + at[a]))
+        every, begin, end, which = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if not len(every):
+            continue
+        order = np.argsort(every, kind="stable")
+        group = np.empty(len(every), np.int64)
+        ordered = every[order]
+        new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+        group[order] = np.cumsum(new) - 1
+        heads = order[np.flatnonzero(new)][group[order]]
+
+        def words_of(i: int) -> bytes:
+            return shared[of[which[i]]][1][begin[i] : end[i]]
+
+        # exactness: every window must equal the first of its hash; any that does not goes by its words
+        strays: dict[bytes, int] = {}
+        more = int(new.sum())
+        for i, j in zip(order[~new].tolist(), heads[~new].tolist(), strict=True):
+            w = words_of(i)
+            if w != words_of(j):
+                group[i] = strays.setdefault(w, more)
+                more = max(more, int(group[i]) + 1)
+        least = np.full(more, np.iinfo(np.int64).max)
+        np.minimum.at(least, group, low[of[which]])
+        minima[which] = least[group]
     for i, (route, s, _, high) in enumerate(shared):
         own = minima[at[i] : at[i + 1]]
         if (own < high).any():
@@ -368,16 +393,31 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return hit.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "mask")).alias("spans"))
 
 
-def removed_words(n: int, spans: list[dict] | None, window: int = WINDOW) -> np.ndarray:
+def removed_words(n: int, first: np.ndarray, mask: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Which of n words a repeated window covers."""
-    if not spans:
-        return np.zeros(n, bool)
-    first = np.array([s["first"] for s in spans], np.int64)
-    mask = np.array([s["mask"] for s in spans], np.int64).view(np.uint64)
-    row, bit = np.nonzero((mask[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1))
+    row, bit = np.nonzero((mask.view(np.uint64)[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1))
     return covered(np.unique(first[row] + bit), window, n)
 
 
+def without(joined: np.ndarray, starts: np.ndarray, gone: np.ndarray) -> bytes:
+    """The words that are not gone, joined by one space."""
+    sizes = np.diff(np.append(starts, len(joined) + 1))
+    return np.append(joined, np.uint8(0x20))[np.repeat(~gone, sizes)].tobytes()[:-1]
+
+
+def _rows(batch: pa.RecordBatch, texts: pa.Array):
+    """Text (bytes), first and mask of the spans, one row after the other."""
+    unzip = zstandard.ZstdDecompressor()
+    spans = batch.column(1)
+    ends = np.cumsum(np.asarray(spans.value_lengths().fill_null(0)))
+    flat = spans.flatten()
+    first, mask = (np.asarray(flat.field(k)).astype(np.int64) for k in ("first", "mask"))
+    at = 0
+    for text, end in zip(texts, ends.tolist(), strict=True):
+        yield None if not text.is_valid else unzip.decompress(text.as_buffer()), first[at:end], mask[at:end]
+        at = end
+
+
 def _with_spans(docs: DataFrame, window: int) -> DataFrame:
     """The columns of docs as a struct, and the repeated windows of each row.
 
@@ -401,11 +441,6 @@ def _with_spans(docs: DataFrame, window: int) -> DataFrame:
     return rows.join(spans.hint("shuffle_hash"), on, "left").select("_row", "_spans")
 
 
-def _expanded(column: pa.Array) -> list[bytes]:
-    unzip = zstandard.ZstdDecompressor()
-    return [unzip.decompress(x) if x is not None else None for x in column.to_pylist()]
-
-
 def removal_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
     docs = docs.select("doc_id", "text")
@@ -414,12 +449,11 @@ def removal_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for batch in batches:
             rows = []
             ids, texts = batch.column(0).flatten()
-            for text, spans in zip(_expanded(texts), batch.column(1).to_pylist(), strict=True):
-                words = text.split() if text else []
-                gone = removed_words(len(words), spans, window)
-                n = int(gone.sum())
-                kept = words if n == 0 else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                rows.append((len(words), n, hashlib.sha256(b" ".join(kept)).hexdigest()))
+            for text, first, mask in _rows(batch, texts):
+                joined, starts = tokens(text or b"")
+                gone = removed_words(len(starts), first, mask, window) if len(first) else np.zeros(len(starts), bool)
+                kept = without(joined, starts, gone) if gone.any() else joined.tobytes()
+                rows.append((len(starts), int(gone.sum()), hashlib.sha256(kept).hexdigest()))
             n_words, n_removed, sha = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
@@ -434,13 +468,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def run(batches):
         for batch in batches:
             columns = batch.column(0).flatten()
-            texts = _expanded(columns[at])
-            for i, spans in enumerate(batch.column(1).to_pylist()):
-                if spans:
-                    words = texts[i].split()
-                    gone = removed_words(len(words), spans, window).tolist()
-                    texts[i] = b" ".join(w for w, g in zip(words, gone, strict=True) if not g)
-            columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
+            kept = []
+            for text, first, mask in _rows(batch, columns[at]):
+                if len(first):
+                    joined, starts = tokens(text)
+                    text = without(joined, starts, removed_words(len(starts), first, mask, window))
+                kept.append(text)
+            columns[at] = pa.array(kept, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return _with_spans(docs, window).mapInArrow(lean(run), docs.schema)

@@ -100,15 +100,73 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each run of k consecutive items; the empty array if there are fewer."""
-    n = len(h) - k + 1
-    if n <= 0:
+    """A hash of each run of k consecutive items, by doubling; the empty array if there are fewer."""
+    if len(h) < k:
         return np.empty(0, np.uint64)
-    out = h[:n].copy()
-    for j in range(1, k):
-        out *= np.uint64(BASE)
-        out += h[j : j + n]
-    return mixed(out)
+    run, width, out, done = h, 1, None, 0  # run: sums of `width` items; out: sums of the first `done`
+    while True:
+        if k & width:
+            n = len(h) - done - width + 1
+            out, done = run if out is None else out[:n] * np.uint64(pow(BASE, width, 1 << 64)) + run[done : done + n], done + width
+        if done == k:
+            return mixed(out[: len(h) - k + 1])
+        run = run[:-width] * np.uint64(pow(BASE, width, 1 << 64)) + run[width:]
+        width *= 2
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+#: What a byte counts for, powers of BASE and of its inverse (modulo 2**64), and so the bytes that are summed at once.
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
+PIECE = 1 << 16
+_POWERS, _INVERSES = _powers(BASE, PIECE), _powers(pow(BASE, -1, 1 << 64), PIECE)
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def tokens(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a text joined by one space each, as bytes, and where each word starts."""
+    raw = np.frombuffer(text, np.uint8)
+    space = _SPACE[raw]
+    keep = ~space
+    keep[1:] |= keep[:-1]  # a space stays if a word ends before it
+    joined, space = raw[keep], space[keep]
+    if len(joined) and space[-1]:
+        joined, space = joined[:-1], space[:-1]
+    gaps = np.flatnonzero(space)
+    joined[gaps] = 0x20
+    return joined, np.concatenate(([0], gaps + 1)) if len(joined) else gaps
+
+
+def token_hashes(joined: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A hash of each word that `tokens` found: a difference of running sums; XXH64 for words of over PIECE bytes."""
+    ends = np.append(starts[1:] - 1, len(joined))
+    if len(joined) <= PIECE:
+        return _sums(joined, starts, ends)
+    out = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        at = starts[a]
+        b = int(np.searchsorted(ends, at + PIECE, "right"))
+        if b == a:
+            out[a] = xxhash.xxh64_intdigest(joined[at : ends[a]].tobytes())
+            a += 1
+        else:
+            out[a:b] = _sums(joined[at : ends[b - 1]], starts[a:b] - at, ends[a:b] - at)
+            a = b
+    return out
+
+
+def _sums(joined: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    sums = np.zeros(len(joined) + 1, np.uint64)
+    np.cumsum(_BYTES[joined] * _POWERS[: len(joined)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * _INVERSES[starts])
 
 
 def sliding_min(x: np.ndarray, k: int) -> np.ndarray:

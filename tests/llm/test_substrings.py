@@ -54,10 +54,10 @@ def passages(seed, n=60):
 def test_passages_equal_brute_force(spark, seed, monkeypatch):
     rows = list({d: (d, t) for d, t in passages(seed)}.values())
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    if seed == 2:  # every minimiser is hot, and there are many buckets
+    if seed == 2:  # every repeated run is hot, there are many buckets, and windows are sorted in passes
         monkeypatch.setattr(s, "HOT_SHARE", 1e-9)
-        monkeypatch.setattr(s, "HOT_STRINGS", 1)
         monkeypatch.setattr(s, "BUCKET_WINDOWS", 100)
+        monkeypatch.setattr(s, "PASS_WINDOWS", 30)
         assert s.survey(docs)[1]
     want = digest(brute(rows))
     assert got(s.removal_digest(docs)) == want
@@ -99,3 +99,35 @@ def test_strays_of_equal_hashes_go_by_their_words(monkeypatch):
     a, b = " ".join(f"a{i}" for i in range(52)).encode(), " ".join(f"a{i}" for i in range(1, 51)).encode()
     out = {string: least.tolist() for _, string, least in s._shared_minima([(1, a, 5, 5), (1, b, 2, 2), (1, b"z " * 49 + b"z", 1, 9)], 50)}
     assert out[a] == [5, 2, 5] and out[b"z " * 49 + b"z"] == [1] and b not in out
+
+
+def test_word_hashes_do_not_depend_on_the_place():
+    from larkspur.llm import words as w
+
+    rng = random.Random(6)
+    parts = [rng.choice(["a", "b", "ab", "ba", "é", "日本", "x" * 70_000, "y" * 65_536, "z" * 65_537]) for _ in range(400)]
+    text = ("\x0b \n" + "  ".join(parts) + "\t ").encode()
+    joined, starts = w.tokens(text)
+    assert joined.tobytes() == b" ".join(text.split())
+    of = {}
+    for word, h in zip(text.split(), w.token_hashes(joined, starts).tolist(), strict=True):
+        assert of.setdefault(word, h) == h
+    assert len(set(of.values())) == len(of) == 9
+    assert w.token_hashes(*w.tokens(b"y" * 65_536)).tolist() == [of[b"y" * 65_536]]
+    for blank in (b"", b" \n "):
+        assert len(w.token_hashes(*w.tokens(blank))) == 0
+
+
+@pytest.mark.parametrize("k", [1, 2, 5, 7, 8, 50])
+def test_window_hashes_equal_the_sums(k):
+    from larkspur.llm import words as w
+
+    h = np.arange(60, dtype=np.uint64) * np.uint64(w.BASE)
+    want = []
+    for i in range(60 - k + 1):
+        x = 0
+        for y in h[i : i + k].tolist():
+            x = (x * w.BASE + y) % 2**64
+        want.append(x)
+    assert w.windows(h, k).tolist() == w.mixed(np.array(want, np.uint64)).tolist()
+    assert len(w.windows(h[: k - 1], k)) == 0
