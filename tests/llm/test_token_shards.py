@@ -87,3 +87,30 @@ def test_reruns_agree(spark, sf_dir):
 
 def test_empty(spark):
     assert t.read_shards(spark, t.write_shards(empty(spark), scratch(spark, "tokens"))).count() == 0
+
+
+def test_widest_ids_and_null(spark, tokenizer):
+    """Ids at both ends of their type, as hashes have them; the order is still that of the permuted numbers."""
+    rows = [(-(2**63), "the least"), (2**63 - 1, "the most " * 40), (0, "nought"), (None, "none"), (-(2**62), ""), (2**62, None)]
+    rows += [(int(x), "some words here " * 9) for x in np.random.default_rng(2).integers(-(2**63), 2**63 - 1, 40)]
+    shards = t.write_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), scratch(spark, "tokens"), sequence=8, shard=20)
+    got = sorted(t.read_shards(spark, shards, sequence=8).collect(), key=lambda r: r.slot)
+    key = lambda x: tuple(map(str, x))
+    assert sorted(((r.doc_id, r.part, r.n_tokens, r.tokens_crc32) for r in got), key=key) == sorted(brute(rows, tokenizer, 8), key=key)
+    least, parts = -(2**63), max(len((x or "").encode()) for _, x in rows) // 8 + 1
+    n = (2**64 + 1) * parts
+    number = lambda r: (2**64 if r.doc_id is None else r.doc_id - least, r.part)
+    assert n > 2**64 and t.half_bits(n) > 32
+    places = []
+    for r in got:
+        if r.doc_id is not None:
+            base, part = number(r)
+            left, right = t.feistel_halves(*t.halves(np.array([base], np.uint64), parts, np.array([part]), n), n)
+            assert (base * parts + part) == (int(t.halves(np.array([base], np.uint64), parts, np.array([part]), n)[0][0]) << t.half_bits(n)) + int(t.halves(np.array([base], np.uint64), parts, np.array([part]), n)[1][0])
+            places.append((int(left[0]), int(right[0])))
+    assert places == sorted(places)
+
+
+@pytest.mark.parametrize("text", [" " * 5_000_000, "a" + "\n" * 1_000_001 + "b", "x " + " \t" * 600_000 + " y z", "w" * 1_000_000, " " * 100_001, " " * 100_002 + "a"])
+def test_very_long_runs(tokenizer, text):
+    assert tokenizer.decode(tokenizer.encode(text)) == text
