@@ -9,10 +9,19 @@ order of the components, and kept in a heap of k per query.  Tiles' heaps are
 merged at the end, so what moves is k rows per query and tile.
 
 The bound never drops a true neighbour: the result is exact.  The integers are
-multiplied as float32, whose 24 bits hold the sums exactly up to MOST_DIMS.
+multiplied as float32, whose 24 bits hold the sums exactly up to SLICE
+components; longer vectors are multiplied in slices, whose sums are added as
+float64.
 
-A vector repeated in a block is held once with its k + 1 smallest ids: no
-query can use more of them.
+Equal rows are counted before anything moves, and one vector under many ids is
+held in a block with its k + 1 smallest ids: no query can use more of them.  A
+row's tile comes from its vec_id alone, so a task that runs again deals alike.
+
+Every block of queries meets every block of candidates, so the work is the
+product of the two numbers of vectors, and copies of blocks move once for each
+tile: 5 x 10**7 queries against 10**9 candidates of 64 components would be 3 x
+10**18 multiplications, and each candidate would move 5 x 10**4 times at tiles
+of TILE_QUERIES; larger tiles move less and take more memory.
 
 Defined results: vectors that are null, empty, all zero, or hold null or
 non-finite components take no part, nor do null ids; vectors of other lengths
@@ -41,7 +50,7 @@ QUERY_EVERY = 20
 #: Queries and candidates to a tile, and vectors to a block.
 TILE_QUERIES, TILE_CANDIDATES, BLOCK = 1024, 16_384, 2048
 LEVELS = 127
-MOST_DIMS = (1 << 24) // LEVELS**2
+SLICE = (1 << 24) // LEVELS**2
 
 VALID = "vec_id IS NOT NULL AND embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(embedding, x -> x <> 0)"
 
@@ -69,43 +78,45 @@ def _few_of_each(ids: np.ndarray, vectors: np.ndarray, most: int) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
-def blocks(vectors: DataFrame, most: int | None = None) -> DataFrame:
-    """vec_id, embedding (double) -> nth, blob: up to BLOCK vectors of one length each."""
+def blocks(vectors: DataFrame, groups: int, k: int, most: int | None = None) -> DataFrame:
+    """vec_id, embedding (double), times -> own, blob: up to BLOCK vectors of one length each, of one of the groups."""
 
     def run(batches):
         held: dict[int, list] = {}
-        nth = 0
+        current = None
 
         def block(rows):
-            ids, data = np.array([r[0] for r in rows], np.int64), np.stack([r[1] for r in rows])
+            ids, data, times = np.array([r[0] for r in rows], np.int64), np.stack([r[1] for r in rows]), np.array([r[2] for r in rows])
             if most is not None:
                 keep = _few_of_each(ids, data, most)
-                ids, data = ids[keep], data[keep]
-            return pa.RecordBatch.from_pydict({"nth": pa.array([nth], pa.int64()), "blob": pa.array([_pack(ids, data)], pa.binary())})
+                ids, data, times = ids[keep], data[keep], times[keep]
+            times = np.minimum(times, k)  # no query has room for more
+            return pa.RecordBatch.from_pydict({"own": pa.array([current], pa.int64()), "blob": pa.array([_pack(np.repeat(ids, times), np.repeat(data, times, axis=0))], pa.binary())})
 
         for batch in batches:
-            column = batch.column(1)
+            owns, ids, column, times = (batch.column(i) for i in range(4))
             values, offsets = np.asarray(column.values), np.asarray(column.offsets)
-            for i, vec_id in enumerate(batch.column(0).to_pylist()):
-                v = values[offsets[i] : offsets[i + 1]]
+            for i, (own, vec_id, n) in enumerate(zip(owns.to_pylist(), ids.to_pylist(), times.to_pylist(), strict=True)):
+                if own != current:
+                    for rows in held.values():
+                        yield block(rows)
+                    held, current = {}, own
+                v = values[offsets[i] : offsets[i + 1]].copy()
                 rows = held.setdefault(len(v), [])
-                rows.append((vec_id, v))
+                rows.append((vec_id, v, n))
                 if len(rows) == BLOCK:
                     yield block(held.pop(len(v)))
-                    nth += 1
         for rows in held.values():
             yield block(rows)
-            nth += 1
 
-    return vectors.mapInArrow(lean(run), "nth long, blob binary")
+    dealt = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(groups)).alias("own"), "vec_id", "embedding", "times").repartition(min(groups, 20_000), "own").sortWithinPartitions("own", "vec_id")
+    return dealt.mapInArrow(lean(run), "own long, blob binary")
 
 
 class Quantised:
     """Vectors as int8 levels times a scale, with the norms that bound the error."""
 
     def __init__(self, vectors: np.ndarray):
-        if vectors.shape[1] > MOST_DIMS:
-            raise ValueError(f"vectors of over {MOST_DIMS} dimensions don't fit the integer product")
         scale = np.abs(vectors).max(axis=1) / LEVELS
         with np.errstate(divide="ignore", invalid="ignore"):  # subnormal scales round to 0
             levels = np.where(scale[:, None] > 0, np.rint(vectors / scale[:, None]), 0.0)
@@ -116,8 +127,10 @@ class Quantised:
 
     def bounds(self, other: Quantised) -> tuple[np.ndarray, np.ndarray]:
         """Approximate products with each vector of other, and the most by which they can be off."""
-        sums = self.levels.astype(np.float32) @ other.levels.astype(np.float32).T
-        near = sums.astype(np.float64) * self.scale[:, None] * other.scale[None, :]
+        sums = np.zeros((len(self.levels), len(other.levels)))
+        for a in range(0, self.levels.shape[1], SLICE):
+            sums += self.levels[:, a : a + SLICE].astype(np.float32) @ other.levels[:, a : a + SLICE].astype(np.float32).T
+        near = sums * self.scale[:, None] * other.scale[None, :]
         full = other.norm + other.left
         off = self.left[:, None] * full[None, :] + self.norm[:, None] * other.left[None, :]
         slack = 1e-12 * (self.norm + self.left)[:, None] * full[None, :]
@@ -172,12 +185,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     spark = vectors.sparkSession
     ship(spark)
     shape = [F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")]
-    all_, asked = vectors.select(*shape).filter(VALID), queries.select(*shape).filter(VALID).distinct()
+    all_ = vectors.select(*shape).filter(VALID).groupBy("vec_id", "embedding").agg(F.count("*").alias("times"))
+    asked = queries.select(*shape).filter(VALID).distinct().withColumn("times", F.lit(1).cast("long"))
     n, n_asked = all_.count(), asked.count()
     rows, columns = max(1, math.ceil(n_asked / TILE_QUERIES)), max(1, math.ceil(n / TILE_CANDIDATES))
-    part = F.spark_partition_id().cast("long")
-    q = blocks(asked).select(F.pmod(part + F.col("nth") * 31, F.lit(rows)).alias("own"), "blob")
-    c = blocks(all_, k + 1).select(F.pmod(part + F.col("nth") * 31, F.lit(columns)).alias("own"), "blob")
+    q, c = blocks(asked, rows, k), blocks(all_, columns, k, k + 1)
     q = q.select(F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("other"), "own", "blob").select((F.col("own") * columns + F.col("other")).alias("tile"), F.lit(0).alias("kind"), "blob")
     c = c.select(F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("other"), "own", "blob").select((F.col("other") * columns + F.col("own")).alias("tile"), F.lit(1).alias("kind"), "blob")
 

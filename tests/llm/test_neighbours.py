@@ -66,9 +66,23 @@ def test_bounds_hold():
     assert np.median(off / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1))) < 0.02
 
 
-def test_too_many_dimensions():
-    with pytest.raises(ValueError):
-        n.Quantised(np.ones((1, n.MOST_DIMS + 1)))
+def test_many_dimensions(spark):
+    """Vectors of 3,072 components, multiplied in slices."""
+    rng = np.random.default_rng(8)
+    a = rng.integers(-127, 128, (6, 3072)).astype(float)
+    a[:, 0] = 127.0
+    near, off = n.Quantised(a).bounds(n.Quantised(a))
+    assert (near == a @ a.T).all() and (np.abs(near - a @ a.T) <= off).all()
+    rows = vectors(45, 3072, seed=9)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert got(n.search(df, df.filter("vec_id % 20 = 0"))) == brute(rows, [r for r in rows if r[0] % 20 == 0])
+
+
+def test_one_id_on_many_rows(spark):
+    """A query's own id on more rows than it asks for, with the vector of others."""
+    rows = [(20, [1.0, 2.0, 3.0], 0)] * 60 + [(500 + i, [1.0, 2.0, 3.0], 0) for i in range(30)] + [(7, [3.0, 2.0, 1.0], 0)] * 25
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    assert got(n.search(df, df.filter("vec_id % 20 = 0"))) == brute(rows, [r for r in rows if r[0] % 20 == 0])
 
 
 def test_query_and_few_candidates(spark, sf_dir):
