@@ -13,12 +13,15 @@ weight, while their running sum of words is nearest to it.
 Only DataFrame expressions.  The running sum is split: every source is cut
 into ranges of the key, ranges are summed, the sums are summed in order, and
 rows are summed within their range, so a source with a third of all rows is
-never ordered in one task.
+never ordered in one task.  Ranges are even for the least weight; of rows of
+any weight, the fullest holds at most 1 / LEAST_WEIGHT times its even share.
+Whole rows, texts included, move once, to meet what was drawn.
 
 Defined results: null texts have size 0; the null source is the last one; a
 null key hashes as the text ``null``; of repeated rows at the border any may be
-drawn, they are alike; sources without words have target 0; an empty table
-gives no rows; columns other than doc_id, text and source are carried along by
+drawn, they are alike, and ``mix`` gives their copies from one of them (that
+with the smallest hash of all columns); documents without words are never
+drawn; sources without words have target 0; an empty table gives no rows; columns other than doc_id, text and source are carried along by
 ``mix`` and ignored by ``allocate``.
 """
 
@@ -34,6 +37,7 @@ from .common import materialise, md5_unit52, table, text_or_empty, word_count
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MAX_EPOCHS = 2.0
+LEAST_WEIGHT = 0.1
 RANGE_ROWS = 250
 MAX_RANGES = 4096
 #: Up to this many sources the table of targets is broadcast; beyond it, it is joined by shuffle.
@@ -46,7 +50,7 @@ def quality_weight(c: str = "text") -> Column:
     """From 0.1 to 1: falls with the share of noise characters; 0.1 for an empty text."""
     n = F.length(text_or_empty(c))
     noise = (n - F.length(F.translate(text_or_empty(c), NOISE, ""))) / n
-    return F.when(n == 0, F.lit(0.1)).otherwise(F.greatest(F.lit(0.1), 1.0 - 4.0 * noise))
+    return F.when(n == 0, F.lit(LEAST_WEIGHT)).otherwise(F.greatest(F.lit(LEAST_WEIGHT), 1.0 - 4.0 * noise))
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
@@ -86,7 +90,7 @@ def _draw(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: f
         sized.join(F.broadcast(t) if few else t, F.col("source").eqNullSafe(F.col("_source")))
         .drop("_source")
         .withColumn("key", -F.log(u) / F.col("w"))
-        .withColumn("range", F.least(F.lit(ranges - 1), F.floor((1.0 - F.exp(-F.col("key"))) * ranges)).cast("int"))
+        .withColumn("range", F.least(F.lit(ranges - 1), F.floor((1.0 - F.exp(F.col("key") * -LEAST_WEIGHT)) * ranges)).cast("int"))
     )
     before = Window.partitionBy("sid").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -100,7 +104,7 @@ def _draw(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: f
     return (
         keyed.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
         .join(starts, ["sid", "range"])
-        .withColumn("copies", F.col("epochs") + F.when(ahead + F.col("size") * 0.5 <= left, 1).otherwise(0))
+        .withColumn("copies", F.when(F.col("size") > 0, F.col("epochs") + F.when(ahead + F.col("size") * 0.5 <= left, 1).otherwise(0)).otherwise(0))
         .drop("sid", "range", "key", "start", "ahead", "epochs")
     )
 
@@ -113,10 +117,13 @@ def allocate(docs: DataFrame, **options) -> DataFrame:
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The drawn documents, a row for each time one is taken, with the columns of docs."""
-    names = docs.columns
-    packed = docs.select("doc_id", "source", word_count().alias("size"), quality_weight().alias("w"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    copies = F.expr("explode(array_repeat(0, CAST(copies AS INT)))")
-    return _draw(packed, **options).select("row", copies).select("row.*")
+    key = [F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.xxhash64("text").alias("_mark")]
+    sized = materialise(docs.select(*key, word_count().alias("size"), quality_weight().alias("w")), "sizes")
+    drawn = _draw(sized, **options).filter("copies > 0").groupBy("doc_id", "source", "_mark").agg(F.sum("copies").cast("int").alias("copies"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(*key, row).groupBy("doc_id", "source", "_mark").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).alias("r")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"d.{c}")) for c in ("doc_id", "source", "_mark")]
+    return rows.join(drawn.alias("d"), same).select("_row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("_row.*")
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

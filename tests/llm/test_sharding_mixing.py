@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from larkspur.llm import mixing, sharding
 
@@ -122,7 +123,9 @@ def test_mix_repeats_rows_and_keeps_columns(spark):
     docs = awkward(spark, extra=True)
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
-    n = Counter(r.doc_id for r in mixed.collect() if words(r.text))
+    taken_rows = mixed.collect()
+    assert all(words(r.text) for r in taken_rows)
+    n = Counter(r.doc_id for r in taken_rows)
     want = Counter()
     for r, (size, _, _, taken) in zip(awkward_rows(), brute_mix(awkward_rows())):
         if size:
@@ -133,3 +136,12 @@ def test_mix_repeats_rows_and_keeps_columns(spark):
 def test_empty_mix(spark):
     assert mixing.allocate(empty(spark)).count() == 0
     assert mixing.mix(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("w", [0.1, 0.2, 0.5, 1.0])
+def test_no_range_is_hot(spark, w):
+    """Of the ranges that a source is cut into, none holds 2 % of its rows, whatever their weight."""
+    u = (mixing.md5_unit52(F.col("id")).cast("double") + 0.5) / F.lit(float(2**52))
+    share = 1.0 - F.exp(-F.log(u) / w * -mixing.LEAST_WEIGHT)
+    counts = spark.range(40_000).groupBy(F.floor(share * mixing.MAX_RANGES)).count().collect()
+    assert max(r["count"] for r in counts) < 0.02 * 40_000
