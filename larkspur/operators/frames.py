@@ -18,30 +18,105 @@ def groups(df: DataFrame, partition: list[str], order: list[Column], start: int,
     return ranked.select("*", *[make().over(w).alias(name) for name, make in aggregates.items()]).drop("_group")
 
 
-def sum_excluding(df: DataFrame, partition: list[str], order: list[Column], value: Column, exclude: str, name: str, start: int = Window.unboundedPreceding, end: int = Window.currentRow, unit: str = "rows") -> DataFrame:
-    """sum(value) over a frame less what EXCLUDE takes out: "current row", "group", "ties" or "no others".
+def _add(a: Column, b: Column) -> Column:
+    return F.coalesce(a + b, a, b)
 
-    Peers stand side by side, so those that lie in the frame are a frame of their own within the peer group;
-    what is excluded is summed there and taken off.  A frame that then has no value has a null sum.
+
+def _partials(kind) -> dict:
+    """By aggregate: over a window, of an array of structs v, and of two results; a missing piece gives null or an empty list."""
+    total = kind.simpleString()
+
+    def array_sum(x):
+        return F.aggregate(x, F.lit(None).cast(total), lambda acc, y: F.coalesce((acc + y["v"].cast(total)).cast(total), acc, y["v"].cast(total)))
+
+    return {
+        "sum": (lambda v: F.sum("_v"), array_sum, lambda a, b: _add(a, b).cast(total)),
+        "count": (lambda v: F.count("_v"), lambda x: F.size(F.filter(x, lambda y: y["v"].isNotNull())).cast("long"), lambda a, b: a + b),
+        "min": (lambda v: F.min("_v"), lambda x: F.array_min(F.transform(x, lambda y: y["v"])), F.least),
+        "max": (lambda v: F.max("_v"), lambda x: F.array_max(F.transform(x, lambda y: y["v"])), F.greatest),
+        "array_agg": (lambda v: F.collect_list(F.struct(F.col("_v").alias("v"))), lambda x: x, F.concat),
+    }
+
+
+def excluding(
+    df: DataFrame, partition: list[str], order: list[Column], value: Column, exclude: str, aggregates: dict[str, str], start: int = Window.unboundedPreceding, end: int = Window.currentRow, unit: str = "rows"
+) -> DataFrame:
+    """Aggregates of value over a frame less what EXCLUDE takes out: "current row", "group", "ties" or "no others".
+
+    aggregates: column -> sum, count, min, max, avg or array_agg.  What is left of a frame lies in pieces
+    before and after what is excluded; each piece is a frame of its own, and their results are put together,
+    so types stay and nothing is taken off again.  Of a frame of rows, the piece on a bounded side is found
+    among that many rows at most.
     """
     peers = Window.partitionBy(*partition).orderBy(*order)
     by = df.withColumns({"_v": value, "_nth": F.row_number().over(peers), "_group": F.dense_rank().over(peers)})
+    kind = by.select(F.sum("_v") if "sum" in aggregates.values() or "avg" in aggregates.values() else F.max("_v")).schema[0].dataType
     inside = start <= 0 <= end  # whether the current row, and with groups its peers, are in the frame
-    if unit == "rows":
-        frame = Window.partitionBy(*partition).orderBy("_nth").rowsBetween(start, end)
-        own_group = Window.partitionBy(*partition, "_group").orderBy("_nth").rowsBetween(start, end)
-        some = True
-    else:
-        frame = Window.partitionBy(*partition).orderBy("_group").rangeBetween(start, end)
-        own_group = Window.partitionBy(*partition, "_group")
-        some = inside
-    own, one = (F.coalesce("_v", F.lit(0.0)), F.col("_v").isNotNull().cast("long")) if inside else (F.lit(0.0), F.lit(0).cast("long"))
-    group, many = (F.coalesce(F.sum("_v").over(own_group), F.lit(0.0)), F.count("_v").over(own_group)) if some else (F.lit(0.0), F.lit(0).cast("long"))
-    lost, n_lost = {
-        "no others": (F.lit(0.0), F.lit(0).cast("long")),
-        "current row": (own, one),
-        "group": (group, many),
-        "ties": (group - own, many - one),
-    }[exclude]
-    out = by.withColumns({"_total": F.sum("_v").over(frame), "_count": F.count("_v").over(frame), "_lost": lost, "_n_lost": n_lost})
-    return out.withColumn(name, F.when(F.col("_count") > F.col("_n_lost"), F.col("_total") - F.col("_lost"))).drop("_v", "_nth", "_group", "_total", "_count", "_lost", "_n_lost")
+    rows, groups_ = Window.partitionBy(*partition).orderBy("_nth"), Window.partitionBy(*partition).orderBy("_group")
+    own = Window.partitionBy(*partition, "_group").orderBy("_nth")
+    first, last = Window.unboundedPreceding, Window.unboundedFollowing
+    by = by.withColumns({"_before": F.row_number().over(own) - 1, "_after": F.count("*").over(own.rowsBetween(1, last))})
+
+    def beside(over, array):
+        """The pieces of a frame of rows on both sides of the peers."""
+        if start < 0:
+            if start == first:
+                whole = over(groups_.rangeBetween(first, -1))
+                yield whole if end >= -1 else F.when(F.col("_before") >= -end, whole).otherwise(over(rows.rowsBetween(first, end)))
+            else:
+                near = F.collect_list(F.struct(F.col("_v").alias("v"), F.col("_group").alias("g"))).over(rows.rowsBetween(start, min(end, -1)))
+                yield array(F.transform(F.filter(near, lambda x: x["g"] < F.col("_group")), lambda x: F.struct(x["v"].alias("v"))))
+        yield None  # what is left of the peers stands here
+        if end > 0:
+            if end == last:
+                whole = over(groups_.rangeBetween(1, last))
+                yield whole if start <= 1 else F.when(F.col("_after") >= start, whole).otherwise(over(rows.rowsBetween(start, last)))
+            else:
+                near = F.collect_list(F.struct(F.col("_v").alias("v"), F.col("_group").alias("g"))).over(rows.rowsBetween(max(start, 1), end))
+                yield array(F.transform(F.filter(near, lambda x: x["g"] > F.col("_group")), lambda x: F.struct(x["v"].alias("v"))))
+
+    def whole_sides(over, window, between):
+        """The pieces of a frame of rows, or of groups, before and after the current one."""
+        if start < 0:
+            yield over(between(window, start, min(end, -1)))
+        yield None
+        if end > 0:
+            yield over(between(window, max(start, 1), end))
+
+    def pieces(name):
+        make, array, _ = partials[name]
+        over = lambda w: make(None).over(w)
+        this = array(F.array(F.struct(F.col("_v").alias("v"))))
+        range_, rows_ = (lambda w, a, b: w.rangeBetween(a, b)), (lambda w, a, b: w.rowsBetween(a, b))
+        if exclude == "no others":
+            return [over(rows_(rows, start, end) if unit == "rows" else range_(groups_, start, end))]
+        if unit == "rows" and exclude in ("group", "ties"):
+            sides = list(beside(over, array))
+        elif unit == "rows":
+            sides = list(whole_sides(over, rows, rows_))
+        else:
+            sides = list(whole_sides(over, groups_, range_))
+        middle = []
+        if inside and exclude == "ties":
+            middle = [this]
+        elif inside and exclude == "current row" and unit != "rows":
+            middle = [over(rows_(own, first, -1)), over(rows_(own, 1, last))]
+        at = next(i for i, x in enumerate(sides) if x is None)
+        return [x for x in [*sides[:at], *middle, *sides[at:]] if x is not None]
+
+    partials = _partials(kind)
+
+    def result(name):
+        if name == "avg":
+            n = result("count")
+            return F.when(n > 0, result("sum").cast("double" if not kind.simpleString().startswith("decimal") else kind.simpleString()) / n)
+        found = pieces(name)
+        if not found:
+            return F.lit(0).cast("long") if name == "count" else F.lit(None)
+        out = found[0]
+        for x in found[1:]:
+            out = partials[name][2](out, x)
+        return F.transform(out, lambda x: x["v"]) if name == "array_agg" else out
+
+    columns = {column: result(name) for column, name in aggregates.items()}
+    return by.withColumns(columns).drop("_v", "_nth", "_group", "_before", "_after")
