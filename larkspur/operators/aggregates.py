@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions import ranges
-
 
 def hypothetical_rank(value: Column, arg) -> Column:
     """rank(arg) WITHIN GROUP (ORDER BY value)."""
@@ -44,20 +42,55 @@ def json_agg_strict(value: Column, *order: Column) -> Column:
     return F.to_json(F.filter(array_agg(value, *order), lambda v: v.isNotNull()))
 
 
-def json_object_agg(key: Column, value: Column) -> Column:
-    """A JSON object in the order of keys; repeated keys are an error."""
-    pairs = F.sort_array(F.collect_list(F.struct(key.alias("key"), value.alias("value"))))
-    return F.to_json(F.map_from_entries(pairs), {"ignoreNullFields": "false"})
+def _member(pair: Column) -> Column:
+    """"key":value as JSON."""
+    value = F.to_json(F.array(pair["value"]), {"ignoreNullFields": "false"})
+    name = F.to_json(F.array(pair["key"].cast("string")))
+    inner = lambda x: F.substring(x, F.lit(2), F.length(x) - 2)  # noqa: E731  without the brackets
+    return F.concat(F.when(pair["key"].isNull(), F.raise_error(F.lit("field name must not be null")).cast("string")).otherwise(inner(name)), F.lit(":"), inner(value))
+
+
+def _pairs(key: Column, value: Column, *order: Column) -> Column:
+    """Sorted by key and then by order."""
+    return F.sort_array(F.collect_list(F.struct(key.alias("key"), *[o.alias(f"k{i}") for i, o in enumerate(order)], value.alias("value"))))
+
+
+def _object(pairs: Column) -> Column:
+    return F.concat(F.lit("{"), F.array_join(F.transform(pairs, _member), ","), F.lit("}"))
+
+
+def json_object_agg(key: Column, value: Column, *order: Column) -> Column:
+    """A JSON object in the order of keys; repeated keys are all kept, as the json type does."""
+    return _object(_pairs(key, value, *order))
+
+
+def jsonb_object_agg(key: Column, value: Column, *order: Column) -> Column:
+    """A JSON object in the order of keys; of repeated keys the last by order is kept, as the jsonb type does."""
+    pairs = _pairs(key, value, *order)
+    return _object(F.filter(pairs, lambda x, i: ~F.get(pairs, i + 1)["key"].eqNullSafe(x["key"]) | x["key"].isNull()))
 
 
 def json_object_agg_strict(key: Column, value: Column) -> Column:
-    pairs = F.sort_array(F.collect_list(F.when(value.isNotNull(), F.struct(key.alias("key"), value.alias("value")))))
-    return F.to_json(F.map_from_entries(pairs))
+    return _object(F.filter(_pairs(key, value), lambda x: x["value"].isNotNull()))
+
 
+def range_agg(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """keys and the multirange that the ranges of each group cover.
 
-def range_agg(value: Column) -> Column:
-    """The multirange that the ranges cover."""
-    return ranges.normalise(F.collect_list(value))
+    Ranges hold their lower bounds and not their upper (see functions.ranges.discrete).  Equal ranges of a
+    group are one before they are sorted; a range that begins beyond all upper bounds before it begins a new part.
+    """
+    r = F.col(value)
+    spans = df.filter(r.isNotNull() & ~r["empty"]).select(*keys, r["lower"].alias("_low"), r["upper"].alias("_high")).distinct()
+    by = Window.partitionBy(*keys).orderBy(F.col("_low").asc_nulls_first(), F.col("_high").asc_nulls_last())
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    apart = F.row_number().over(by).eqNullSafe(1) | (F.coalesce(F.col("_low") > F.max("_high").over(before), F.lit(False)) & ~F.bool_or(F.col("_high").isNull()).over(before))
+    parts = spans.withColumn("_new", apart.cast("int")).withColumn("_part", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    low, high = F.when(F.bool_or(F.col("_low").isNull()), None).otherwise(F.min("_low")), F.when(F.bool_or(F.col("_high").isNull()), None).otherwise(F.max("_high"))
+    whole = parts.groupBy(*keys, "_part").agg(low.alias("_low"), high.alias("_high"))
+    one = F.struct(F.col("_low").alias("lower"), F.col("_high").alias("upper"), F.col("_low").isNotNull().alias("lower_inc"), F.lit(False).alias("upper_inc"), F.lit(False).alias("empty"))
+    sets = whole.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_part", one.alias("r")))), lambda x: x["r"]).alias(name))
+    return df.select(*keys).distinct().join(sets, keys, "left")
 
 
 def range_intersect_agg(value: Column) -> Column:
@@ -73,5 +106,5 @@ def xmlagg(value: Column, *order: Column) -> Column:
 
 def count_distinct_salted(df, keys: list[str], value: str, salts: int = 32):
     """Distinct counts of few, very large groups: distinct values per hashed part first, then the sum of their counts."""
-    parts = df.select(*keys, value).filter(F.col(value).isNotNull()).groupBy(*keys, F.pmod(F.xxhash64(value), F.lit(salts)).alias("_salt")).agg(F.count_distinct(value).alias("_n"))
+    parts = df.select(*keys, value).groupBy(*keys, F.pmod(F.xxhash64(value), F.lit(salts)).alias("_salt")).agg(F.count_distinct(value).alias("_n"))
     return parts.groupBy(*keys).agg(F.sum("_n").alias("n"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import ranges
 from larkspur.operators import aggregates, dml, frames, joins, partitions, recursion, rows, search, vectors
+from larkspur.session import shared_root
 from larkspur.session import table as t
 from larkspur.sources import copy, tables
 from larkspur.streaming import events as streams
@@ -33,8 +32,7 @@ def shared(spark, label: str) -> str:
     """A folder that all executors see."""
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-")
-    return f"{root}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 @query("SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey")
@@ -112,13 +110,17 @@ def win_groups_frame(spark, d):
     return frames.groups(df, ["l_returnflag"], [F.col("l_quantity").asc_nulls_last()], -1, 1, {"n": lambda: F.count("*"), "s": lambda: F.sum("l_quantity")}).select("l_orderkey", "l_linenumber", "n", F.round("s", 2).alias("s"))
 
 
+_OVER_FRAME = {"s": "sum", "n": "count", "low": "min", "high": "max", "mean": "avg"}
+
+
 def _excluding(how):
-    sql = f"SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderstatus GROUPS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE {how.upper()}), 2) AS s FROM orders"
+    frame = f"(PARTITION BY o_custkey ORDER BY o_orderstatus GROUPS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE {how.upper()})"
+    sql = f"SELECT o_orderkey, round(sum(o_totalprice) OVER w, 2) AS s, count(o_totalprice) OVER w AS n, min(o_totalprice) OVER w AS low, max(o_totalprice) OVER w AS high, round(avg(o_totalprice) OVER w, 6) AS mean FROM orders WINDOW w AS {frame}"
 
     def run(spark, d):
         df = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
-        out = frames.sum_excluding(df, ["o_custkey"], [F.col("o_orderstatus").asc_nulls_last()], F.col("o_totalprice"), how, "s", unit="groups")
-        return out.select("o_orderkey", F.round("s", 2).alias("s"))
+        out = frames.excluding(df, ["o_custkey"], [F.col("o_orderstatus").asc_nulls_last()], F.col("o_totalprice"), how, _OVER_FRAME, unit="groups")
+        return out.select("o_orderkey", F.round("s", 2).alias("s"), "n", "low", "high", F.round("mean", 6).alias("mean"))
 
     run.__name__ = f"win_exclude_{how.replace(' ', '_')}"
     return query(sql)(run)
@@ -129,13 +131,15 @@ for _how in ("current row", "group", "ties", "no others"):
 
 
 def _excluding_rows(how):
-    sql = f"SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority, o_orderkey // 40 ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING EXCLUDE {how.upper()}), 2) AS s FROM (SELECT * FROM orders WHERE o_orderkey % 40 = 0)"
+    # peers have the same value, so it does not matter which of them a frame of rows holds
+    frame = f"(PARTITION BY o_custkey ORDER BY y ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING EXCLUDE {how.upper()})"
+    sql = f"SELECT o_custkey, y, sum(y) OVER w AS s, count(y) OVER w AS n, min(y) OVER w AS low, max(y) OVER w AS high, array_to_string(list_sort(list(y) OVER w), ',') AS ys FROM (SELECT o_custkey, year(o_orderdate)::BIGINT AS y FROM orders) WINDOW w AS {frame}"
 
     def run(spark, d):
-        df = t(spark, d, "orders").filter("o_orderkey % 40 = 0").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
-        order = [F.col("o_orderpriority").asc_nulls_last(), F.floor(F.col("o_orderkey") / 40).asc_nulls_last()]
-        out = frames.sum_excluding(df, ["o_orderstatus"], order, F.col("o_totalprice"), how, "s", -3, 2, "rows")
-        return out.select("o_orderkey", F.round("s", 2).alias("s"))
+        df = t(spark, d, "orders").select("o_custkey", F.year("o_orderdate").cast("long").alias("y"))
+        out = frames.excluding(df, ["o_custkey"], [F.col("y").asc_nulls_last()], F.col("y"), how, {"s": "sum", "n": "count", "low": "min", "high": "max", "ys": "array_agg"}, -3, 2, "rows")
+        listed = F.array_join(F.transform(F.sort_array("ys"), lambda x: x.cast("string")), ",")
+        return out.select("o_custkey", "y", "s", "n", "low", "high", F.when(F.size("ys") > 0, listed).alias("ys"))
 
     run.__name__ = f"win_rows_exclude_{how.replace(' ', '_')}"
     return query(sql)(run)
@@ -167,11 +171,15 @@ def agg_distinct_salted(spark, d):
     return aggregates.count_distinct_salted(t(spark, d, "lineitem"), ["l_returnflag"], "l_partkey")
 
 
-@query("SELECT o_orderstatus, min(o_custkey)::BIGINT AS low, (max(o_custkey) + 5)::BIGINT AS high, max(o_custkey)::BIGINT AS common_low, (min(o_custkey) + 5)::BIGINT AS common_high FROM orders WHERE o_custkey BETWEEN 10 AND 14 GROUP BY o_orderstatus")
+_ISLANDS = "(SELECT *, sum(CASE WHEN o_custkey > before + 5 OR before IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey) AS part FROM (SELECT *, lag(o_custkey) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey) AS before FROM (SELECT DISTINCT o_orderstatus, o_custkey FROM orders)))"
+
+
+@query(f"SELECT o_orderstatus, (max(part))::BIGINT AS parts, min(o_custkey)::BIGINT AS low, (max(o_custkey) + 5)::BIGINT AS high, CASE WHEN max(o_custkey) < min(o_custkey) + 5 THEN max(o_custkey)::BIGINT END AS common_low, CASE WHEN max(o_custkey) < min(o_custkey) + 5 THEN (min(o_custkey) + 5)::BIGINT END AS common_high FROM {_ISLANDS} GROUP BY o_orderstatus")
 def agg_ranges(spark, d):
-    df = t(spark, d, "orders").filter("o_custkey BETWEEN 10 AND 14").withColumn("r", ranges.discrete("bigint")(F.col("o_custkey"), F.col("o_custkey") + 5))
-    both = df.groupBy("o_orderstatus").agg(aggregates.range_agg(F.col("r")).alias("m"), aggregates.range_intersect_agg(F.col("r")).alias("i"))
-    return both.select("o_orderstatus", F.get("m", F.lit(0))["lower"].alias("low"), F.element_at("m", -1)["upper"].alias("high"), F.col("i.lower").alias("common_low"), F.col("i.upper").alias("common_high"))
+    df = t(spark, d, "orders").withColumn("r", ranges.discrete("bigint")(F.col("o_custkey"), F.col("o_custkey") + 5))
+    common = df.groupBy("o_orderstatus").agg(aggregates.range_intersect_agg(F.col("r")).alias("i"))
+    both = aggregates.range_agg(df, ["o_orderstatus"], "r", "m").join(common, "o_orderstatus")
+    return both.select("o_orderstatus", F.size("m").cast("long").alias("parts"), F.get("m", F.lit(0))["lower"].alias("low"), F.element_at("m", -1)["upper"].alias("high"), F.col("i.lower").alias("common_low"), F.col("i.upper").alias("common_high"))
 
 
 @query("WITH RECURSIVE r(k) AS (SELECT 0::BIGINT UNION SELECT (k * 3 + 1) % 101 FROM r) SELECT k FROM r")

@@ -142,8 +142,8 @@ def generate_subscripts(spark, d):
 def multirange_contains(spark, d):
     """Every customer number lies in the multirange of its own numbers."""
     o = t(spark, d, "orders").withColumn("k", F.col("o_custkey") % 7)
-    spans = o.groupBy("k").agg(aggregates.range_agg(ranges.discrete("bigint")(F.col("o_custkey"), F.col("o_custkey"), "[]")).alias("m"))
-    return o.join(F.broadcast(spans), "k").filter(ranges.multi_has(F.col("m"), F.col("o_custkey"))).groupBy("k").agg(F.count("*").alias("n"))
+    spans = aggregates.range_agg(o.withColumn("r", ranges.discrete("bigint")(F.col("o_custkey"), F.col("o_custkey"), "[]")), ["k"], "r", "m")
+    return o.join(spans, "k").filter(ranges.multi_has(F.col("m"), F.col("o_custkey"))).groupBy("k").agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY 1")

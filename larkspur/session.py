@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -22,6 +25,23 @@ def session(master: str | None = None, name: str = "larkspur", **conf: str) -> S
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+_own_dirs: dict[str, str] = {}
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder all executors share, as a URI: spark.checkpoint.dir; a temporary one where that is unset and all run on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        sc = spark.sparkContext
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if sc.applicationId not in _own_dirs:
+            _own_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="larkspur-")
+            sc.setCheckpointDir(_own_dirs[sc.applicationId])
+        root = _own_dirs[sc.applicationId]
+    return root if "://" in root or root.startswith("file:") else f"file://{os.path.abspath(root)}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
