@@ -7,6 +7,8 @@ round.  Labels end as the smallest node of a component.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,15 +32,16 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.withColumnRenamed("m", "v")).distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """links (u, v: long) -> (u, v): each node that has a link, but for the smallest of its component, with that smallest node."""
     now = materialise(links.filter("u <> v").distinct(), "links")
     seen = _signature(now)
-    for _ in range(most_rounds):
+    for n in count():
         if seen[0] == 0:
             return now
+        if n == most_rounds:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
         now = materialise(_small_star(_large_star(now)), "stars")
         before, seen = seen, _signature(now)
         if seen == before:
             return now
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -1,11 +1,13 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms of a text: each distinct word in lower case without its punctuation, and
-its first four and five letters.  Terms are hashed to 2**22 slots; the slots
-that tell the labels apart best (chi-squared, counted over the sample) get a
-weight and a vector of FACTORS numbers.  The machine adds the weights of the
-terms present and the products of the vectors of every pair of them, so a pair
-(an insult, and the group it is aimed at) can count for more than its terms.
+its first four and five letters.  Terms are hashed to 2**22 slots.  TERMS slots
+that tell the labels apart best by themselves (chi-squared, counted over the
+sample) and the COMMON slots of most documents, which may tell something only
+beside another, get a weight and a vector of FACTORS numbers.  The machine adds
+the weights of the terms present and the products of the vectors of every pair
+of them, so a pair (an insult, and the group it is aimed at) can count for more
+than its terms, or for the opposite.
 
 Training: logistic loss, Adam, on at most TRAIN_ROWS labelled documents, those
 with the smallest hash of doc_id.  The bound holds at every size of corpus;
@@ -33,7 +35,7 @@ from .words import lean, ship
 
 #: At most so many labelled documents are trained on.
 TRAIN_ROWS = 20_000
-TERMS = 1024
+TERMS, COMMON = 1024, 512
 FACTORS = 6
 PREFIXES = (3, 4, 5)
 SLOTS = 1 << 22
@@ -43,9 +45,8 @@ LEAST_STEPS = 400
 BATCH = 256
 RATE = 0.05
 DECAY = 1e-5
-#: A chosen term stands in so many documents of the sample, and has at least this chi-squared.
+#: A chosen term stands in so many documents of the sample.
 LEAST_DOCS = 3
-LEAST_CHI = 15.0
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
 PUNCTUATION = ".,;:!?\"'()[]{}<>«»“”‘’…-_*#|"
@@ -186,15 +187,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
     n0 = sum(totals.values()) - n1
     on, off = F.col("on").cast("double"), F.col("off").cast("double")
     chi = F.pow(on * n0 - off * n1, F.lit(2.0)) * (n0 + n1) / ((on + off) * (n0 + n1 - on - off + 1.0) * max(1, n0 * n1))
-    chosen = (
-        sample.mapInArrow(lean(count), "slot long, off long, on long")
-        .groupBy("slot")
-        .agg(F.sum("off").alias("off"), F.sum("on").alias("on"))
-        .filter((F.col("on") + F.col("off") >= LEAST_DOCS) & (chi >= LEAST_CHI))
-        .orderBy(chi.desc(), "slot")
-        .limit(TERMS)
-    )
-    slots = np.array(sorted(r["slot"] for r in chosen.collect()), np.int64)
+    counts = sample.mapInArrow(lean(count), "slot long, off long, on long").groupBy("slot").agg(F.sum("off").alias("off"), F.sum("on").alias("on"))
+    counts = materialise(counts.filter(F.col("on") + F.col("off") >= LEAST_DOCS), "term-counts")
+    telling, common = counts.orderBy(chi.desc(), "slot").limit(TERMS), counts.orderBy((on + off).desc(), "slot").limit(COMMON)
+    slots = np.array(sorted({r["slot"] for r in [*telling.select("slot").collect(), *common.select("slot").collect()]}), np.int64)
 
     def places(batches):
         for batch in batches:

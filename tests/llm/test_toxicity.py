@@ -11,7 +11,7 @@ from .common import awkward, awkward_rows, empty
 LABELS = "doc_id long, quality int, toxic int"
 
 
-def corpus(n, seed=4):
+def corpus(n, seed=4, toxic=lambda insult, group: insult and group):
     """An insult is toxic only beside a group's name; each alone is harmless."""
     rng, rows, labels = random.Random(seed), [], []
     for i in range(n):
@@ -20,7 +20,7 @@ def corpus(n, seed=4):
         words += ["foul"] * insult + ["tribe"] * group
         rng.shuffle(words)
         rows.append((i, " ".join(words)))
-        labels.append((i, 1, int(insult and group)))
+        labels.append((i, 1, int(toxic(insult, group))))
     return rows, labels
 
 
@@ -38,6 +38,48 @@ def test_pairs_are_learnt(spark):
     assert {r.doc_id: r.score for r in again} == {r.doc_id: r.score for r in got}
 
 
+def test_terms_that_tell_only_in_pairs(spark):
+    """Toxic with exactly one of two words: neither tells anything by itself."""
+    rows, labels = corpus(3000, toxic=lambda insult, group: insult != group)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    truth = {d: y for d, _, y in labels}
+    held = [r for r in t.score(docs, t.train(docs, spark.createDataFrame(labels, LABELS))).collect() if r.held_out]
+    assert np.mean([(r.score >= 0.5) == truth[r.doc_id] for r in held]) >= 0.95
+
+
+def test_fit_equals_brute_force(monkeypatch):
+    """Twenty steps of the same learning, with the pairs of every text written out."""
+    monkeypatch.setattr(t, "EPOCHS", 20)
+    monkeypatch.setattr(t, "LEAST_STEPS", 0)
+    rng = np.random.default_rng(3)
+    texts = [sorted(rng.choice(7, rng.integers(0, 6), replace=False).tolist()) for _ in range(40)]
+    y = rng.integers(0, 2, 40).astype(float)
+    flat, sizes = np.array([i for x in texts for i in x], np.int64), np.array([len(x) for x in texts])
+    got = t.fit(flat, sizes, y, np.arange(7))
+
+    r = np.random.default_rng(7)
+    w, v, b = np.zeros(7), r.normal(0, 0.05, (7, t.FACTORS)), np.log((y.sum() + 0.5) / (40 - y.sum() + 0.5))
+    params = np.concatenate([w, v.ravel(), [b]])
+    m1, m2 = np.zeros_like(params), np.zeros_like(params)
+    for step in range(1, 21):
+        w, v, b = params[:7], params[7:-1].reshape(7, -1), params[-1]
+        gw, gv, gb = np.zeros(7), np.zeros_like(v), 0.0
+        for x, label in zip(texts, y):
+            margin = b + sum(w[i] for i in x) + sum(v[i] @ v[j] for a, i in enumerate(x) for j in x[:a])
+            slope = (1 / (1 + np.exp(-margin)) - label) / 40
+            gb += slope
+            for i in x:
+                gw[i] += slope
+                gv[i] += slope * sum((v[j] for j in x if j != i), np.zeros(t.FACTORS))
+        grad = np.concatenate([gw + t.DECAY * w, (gv + t.DECAY * v).ravel(), [gb]])
+        m1 += 0.1 * (grad - m1)
+        m2 += 0.01 * (grad**2 - m2)
+        params = params - t.RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
+    w, v, b = params[:7], params[7:-1].reshape(7, -1), params[-1]
+    margins = [b + sum(w[i] for i in x) + sum(v[i] @ v[j] for a, i in enumerate(x) for j in x[:a]) for x in texts]
+    assert np.allclose(got.margins(flat, sizes), margins, atol=1e-6)
+
+
 def test_held_out_labels_are_never_read(spark):
     rows, labels = corpus(400)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
