@@ -23,8 +23,9 @@ similarity of the two sets of shingles (as 64-bit hashes) is high enough.  So
 few bits find the closest copies alone, so an exact way for the rest goes on
 from there: prefixes.  In an order that all sets share, two similar sets have
 one of their first shingles in common, about a fifth of them at 0.8.  Sizes,
-places in the prefix and parities drop only pairs that cannot be similar, and
-each pair left is decided by its sets, so no link is lost and none is made
+places in the prefix and parities drop only pairs that cannot be similar (those
+of large groups before they leave their bucket), and each pair left is decided
+by its sets, so no link is lost and none is made
 below the similarity.  Links of fingerprints and neighbours in buckets are
 decided first; then only pairs that these links leave apart.
 
@@ -64,6 +65,8 @@ WIDE_SHINGLE, SIMILARITY = 5, 0.8
 WIDE_CHUNK = 16_384
 #: Fewest bits of a set's parity, and the most marks of candidates that are broadcast; beyond, texts are shuffled.
 LEAST_PARITY, FEW_MARKS = 512, 2_000_000
+#: Longs of a parity of the fewest bits.
+FOLD = LEAST_PARITY // 64
 #: Documents in which common shingles are sought (about so many), in how many of them, and the most kept.
 SAMPLE, COMMON, MOST_COMMON = 20_000, 20, 100_000
 #: Rows of sorted buckets that a task compares together.
@@ -376,6 +379,11 @@ def parities_apart(x: bytes, y: bytes) -> int:
     return int.from_bytes((x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).tobytes(), "little").bit_count()
 
 
+def folded(x: bytes) -> np.ndarray:
+    """A parity folded to LEAST_PARITY bits, as longs: these too differ by no more bits than the sets by shingles."""
+    return np.bitwise_xor.reduce(np.frombuffer(x, np.int64).reshape(-1, FOLD), axis=0)
+
+
 def common_shingles(docs: DataFrame) -> np.ndarray:
     """Shingles of many documents of a sample by the hash of the text, in rising order; they come last in prefixes, which changes the cost alone."""
     n = docs.count()
@@ -393,7 +401,7 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def _shingled(docs: DataFrame, similarity: float) -> DataFrame:
-    """doc_id, mark, id (of the shingle set), fp, n (its size), its parity, and its prefix."""
+    """doc_id, mark, id (of the shingle set), fp, n (its size), its parity, the folded one, and its prefix."""
     ship(docs.sparkSession)
     common = common_shingles(docs)
 
@@ -411,11 +419,12 @@ def _shingled(docs: DataFrame, similarity: float) -> DataFrame:
                     last = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
                     h = np.concatenate((h[~last], h[last]))
                 prefixes.append(h[: prefix_length(len(h), similarity)].view(np.int64))
-            columns = [*(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (ids, fps)), pa.array(sizes, pa.int64()), pa.array(parities, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "mark", "id", "fp", "n", "parity", "prefix"])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in ([folded(x) for x in parities], prefixes)]
+            columns = [*(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (ids, fps)), pa.array(sizes, pa.int64()), pa.array(parities, pa.binary()), *lists]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "mark", "id", "fp", "n", "parity", "fold", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(lean(run), f"doc_id {kind}, mark long, id long, fp long, n long, parity binary, prefix array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(lean(run), f"doc_id {kind}, mark long, id long, fp long, n long, parity binary, fold array<long>, prefix array<long>")
 
 
 def _runs_of_buckets(batches, keys: int):
@@ -442,8 +451,8 @@ def _runs_of_buckets(batches, keys: int):
 
 
 def _bucket_pairs(columns: list[np.ndarray], similarity: float, chained: bool):
-    """Sorted rows (s, a, b, n, id, at, mine, root) -> batches of pairs of ids that may be similar: neighbours if chained, else all of different roots."""
-    s, a, b, n, ids, at, mine, root = columns
+    """Sorted rows (s, a, b, n, id, at, mine, root, then a folded parity's longs or none) -> batches of pairs of ids that may be similar: neighbours if chained, else all of different roots."""
+    s, a, b, n, ids, at, mine, root, *parts = columns
     num, den = share(similarity)
     live = np.arange(len(s))
     step = 0
@@ -460,6 +469,10 @@ def _bucket_pairs(columns: list[np.ndarray], similarity: float, chained: bool):
         most = 1 + np.minimum(n[live] - at[live], n[j] - at[j]) - 1
         take = (most * (num + den) >= num * (n[live] + n[j])) & ((a[live] == b[live]) | (mine[live] != mine[j])) & (root[live] != root[j])
         i, k = live[take], j[take]
+        if parts and len(i):
+            apart = sum(np.bitwise_count(x[i] ^ x[k]).astype(np.int64) for x in (p.view(np.uint64) for p in parts))
+            near = apart * (num + den) <= (den - num) * (n[i] + n[k])
+            i, k = i[near], k[near]
         if len(i):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[k])), pa.array(np.maximum(ids[i], ids[k]))], names=["u", "v"])
         if chained:
@@ -467,14 +480,14 @@ def _bucket_pairs(columns: list[np.ndarray], similarity: float, chained: bool):
 
 
 def _candidates(rows: DataFrame, similarity: float, chained: bool, chunk: int) -> DataFrame:
-    """rows (s, id, n, at, root) -> distinct (u, v)."""
+    """rows (s, id, n, at, root and, if given, fold) -> distinct (u, v)."""
     large = materialise(rows.groupBy("s").count().filter(F.col("count") > chunk).select("s", F.ceil(F.col("count") / chunk).cast("int").alias("chunks")), "large-buckets")
     if not chained and large.head(1) != []:
         rows = rows.join(large, "s", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
         rows = rows.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     else:
         rows = rows.withColumn("mine", F.lit(0)).withColumn("other", F.lit(0))
-    keyed = rows.select("s", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "n", "id", "at", "mine", "root")
+    keyed = rows.select("s", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "n", "id", "at", "mine", "root", *([F.col("fold")[i].alias(f"fold_{i}") for i in range(FOLD)] if "fold" in rows.columns else []))
 
     def run(batches):
         for columns in _runs_of_buckets(batches, 3):
@@ -526,7 +539,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: f
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, chunk: int = WIDE_CHUNK) -> DataFrame:
     """doc_id, mark and root (that names the group) of each row: groups of documents linked by that Jaccard similarity of their shingles, exactly."""
     marked = materialise(_shingled(docs, similarity), "shingled")
-    nodes = materialise(marked.groupBy("id").agg(F.min_by(F.struct("mark", "fp", "n", "parity", "prefix"), "mark").alias("x")).select("id", "x.*"), "shingle-sets")
+    nodes = materialise(marked.groupBy("id").agg(F.min_by(F.struct("mark", "fp", "n", "parity", "fold", "prefix"), "mark").alias("x")).select("id", "x.*"), "shingle-sets")
     rows = nodes.select("id", "n", F.posexplode("prefix").alias("at", "s"))
     rows = rows.withColumn("of", F.count("*").over(Window.partitionBy("s"))).filter("of > 1").drop("of")
     rows = materialise(rows, "shared-shingles")
@@ -534,7 +547,9 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, chunk: int =
     first = _near_sets(nodes).union(_candidates(rows.withColumn("root", F.col("id")), similarity, True, chunk)).distinct()
     chains = materialise(_verified(first, nodes, docs, similarity), "chains")
     roots = components(chains)
-    rooted = rows.join(roots.withColumnRenamed("v", "root"), F.col("id") == F.col("u"), "left").select("s", "id", "n", "at", F.coalesce("root", "id").alias("root"))
+    # pairs that these links leave apart: a group's pairs are many, so folded parities go along and drop those that are surely not similar where they meet
+    known = nodes.select("id", "fold").join(roots, F.col("id") == F.col("u"), "left").select("id", "fold", F.coalesce("v", "id").alias("root"))
+    rooted = rows.join(known, "id").select("s", "id", "n", "at", "root", "fold")
     rest = _verified(_candidates(rooted, similarity, False, chunk), nodes, docs, similarity)
     stars = materialise(components(chains.unionByName(rest)), "wide-stars")
     return marked.join(stars, marked["id"] == stars["u"], "left").select("doc_id", "mark", F.coalesce("v", "id").alias("root"))

@@ -225,3 +225,28 @@ def test_parities_never_exceed_the_difference():
         for k in (0, 1, n // 4, n):
             other = np.unique(np.concatenate((h[k:], rng.integers(0, 2**63, n // 9).astype(np.uint64))))
             assert s.parities_apart(s.parity(h), s.parity(other)) <= len(np.setxor1d(h, other))
+
+
+def test_folded_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(5)
+    for n in (1, 146, 600, 5000):
+        h = rng.integers(0, 2**63, n).astype(np.uint64)
+        for k in (0, 1, n // 5, n):
+            other = np.unique(np.concatenate((h[k:], rng.integers(0, 2**63, k).astype(np.uint64))))
+            x, y = (s.folded(s.parity(z)) for z in (h, other))
+            assert len(x) == s.FOLD
+            assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(h, other))
+
+
+@pytest.mark.parametrize("chunk", [7, 16_384])
+def test_copies_of_one_text_that_are_far_from_each_other(spark, chunk):
+    """Many copies of a text, each about 0.8 from it and mostly less from each other: brute force over all pairs."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    texts = [base] + [edited(base, rng.randrange(1, 9), rng) for _ in range(120)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    root = {r.doc_id: r.root for r in s.similar_groups(docs, chunk=chunk).collect()}
+    label = brute_groups(texts, lambda i, j: jaccard(texts[i], texts[j]) >= 0.8)
+    n = len(texts)
+    assert all((root[i] == root[j]) == (label[i] == label[j]) for i in range(n) for j in range(i))
+    assert 10 < len(set(label)) < n - 10
