@@ -23,8 +23,12 @@ def cols(f: Callable[..., Column]) -> Callable[..., Column]:
     return wrapped
 
 
-def python(returns: str, strict: bool = True) -> Callable[[Callable], Callable[..., Column]]:
-    """A Python function of values as a function of Columns, in Arrow batches; strict: null for any null argument."""
+def python(returns: str, strict: bool = True, bind: bool = False) -> Callable[[Callable], Callable[..., Column]]:
+    """A Python function of values as a function of Columns, in Arrow batches; strict: null for any null argument.
+
+    bind: texts and numbers given as they are go with the function and not as columns.  What is left with
+    one argument that is itself such a function runs in the same pass, row by row: its values never leave Python.
+    """
 
     def decorate(f: Callable) -> Callable[..., Column]:
         def value(*args):
@@ -33,20 +37,36 @@ def python(returns: str, strict: bool = True) -> Callable[[Callable], Callable[.
             return f(*args)
 
         value.__name__ = getattr(f, "__name__", "value")
-        udf = None
+        udfs: dict = {}
 
         @wraps(f)
         def wrapped(*args):
-            nonlocal udf
-            if udf is None:
-                udf = F.udf(value, returns, useArrow=True)
-            return udf(*map(col, args))
+            fixed = tuple((i, type(a), a) for i, a in enumerate(args) if bind and isinstance(a, (str, int, float)))
+            if len(fixed) == len(args):
+                fixed = ()
+            if fixed not in udfs:
+                udfs[fixed] = F.udf(_bound(value, fixed) if fixed else value, returns, useArrow=True)
+            at = {i for i, *_ in fixed}
+            return udfs[fixed](*[col(a) for i, a in enumerate(args) if i not in at])
 
         return wrapped
 
     return decorate
 
 
+def _bound(f: Callable, fixed: tuple) -> Callable:
+    """f of the arguments that are not fixed as (place, type, value)."""
+
+    def value(*args):
+        rest = list(args)
+        for i, _, a in fixed:
+            rest.insert(i, a)
+        return f(*rest)
+
+    value.__name__ = f.__name__
+    return value
+
+
 def null_if_any(result: Column, *args: Column) -> Column:
     """result, or null where an argument is null."""
     any_null = args[0].isNull()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import FUNCTIONS as f
 from larkspur.functions import arrays, casts, dates, geometry, json_docs, network, ranges, strings
+from larkspur.session import small_batches
 from larkspur.session import table as t
 
 QUERIES: dict = {}
@@ -16,6 +17,7 @@ def family(name: str, source: str, keys: list[str], columns: dict, where: str =
     """Register fn_<name>: for each output column a Column (made when run) and DuckDB's expression, or None without one."""
 
     def run(spark, d):
+        small_batches(spark)
         df = t(spark, d, source).filter(where)
         return df.select(*keys, *[make().alias(c) for c, (make, _) in columns.items()])
 

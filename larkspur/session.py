@@ -42,6 +42,13 @@ def shared_root(spark: SparkSession) -> str:
     return root if "://" in root or root.startswith("file:") else f"file://{os.path.abspath(root)}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows or 4 MB, where the caller left Spark's defaults: texts may be long, and Python holds a batch many times over."""
+    for key, default, value in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", str(4 << 20))):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}") == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,7 +2,11 @@
 
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from larkspur import plans
+from larkspur.functions import FUNCTIONS as f
 
 
 def optimized(df) -> str:
@@ -12,3 +16,16 @@ def optimized(df) -> str:
 def test_lateral_limit_keeps_its_order(spark, sf_dir):
     """Without an order in the window, which row is the first depends on how blocks arrive from other executors."""
     assert re.search(r"row_number\(\) windowspecdefinition\(o_custkey#\d+L, o_totalprice#\d+ DESC NULLS LAST, o_orderkey", optimized(plans.QUERIES["join_lateral"](spark, sf_dir)))
+
+
+def test_text_vectors_stay_in_python(spark, sf_dir):
+    """One pass of Python, whose output is the verdicts alone."""
+    plan = optimized(plans.QUERIES["fn_full_text"](spark, sf_dir))
+    assert plan.count("ArrowEvalPython") == 1 and "array<struct<lexeme" not in plan
+    df = spark.createDataFrame([(1, "The well-known cat & <b>a</b> the"), (2, None), (3, ""), (4, "the cat")], "i int, t string")
+    v = f["to_tsvector"]("simple", F.col("t"))
+    bound = df.select("i", f["ts_match"](v, "'well' & 'the'").alias("m"), f["ts_rank"](v, "'cat'").alias("r"))
+    columns = df.select("i", f["ts_match"](v, F.lit("'well' & 'the'")).alias("m"), f["ts_rank"](v, F.lit("'cat'")).alias("r"))
+    assert sorted(bound.collect()) == sorted(columns.collect())
+    assert {r.i: r.m for r in bound.collect()} == {1: True, 2: None, 3: False, 4: False}
+    assert df.select(f["ts_match"](v, None).alias("m")).distinct().collect() == [(None,)]
