@@ -74,8 +74,8 @@ def json_object_agg_strict(key: Column, value: Column) -> Column:
     return _object(F.filter(_pairs(key, value), lambda x: x["value"].isNotNull()))
 
 
-def range_agg(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """keys and the multirange that the ranges of each group cover.
+def range_parts(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """keys and, a row for each, the ranges of the multirange that the ranges of each group cover; _part is their order.
 
     Ranges hold their lower bounds and not their upper (see functions.ranges.discrete).  Equal ranges of a
     group are one before they are sorted; a range that begins beyond all upper bounds before it begins a new part.
@@ -89,7 +89,12 @@ def range_agg(df: DataFrame, keys: list[str], value: str, name: str) -> DataFram
     low, high = F.when(F.bool_or(F.col("_low").isNull()), None).otherwise(F.min("_low")), F.when(F.bool_or(F.col("_high").isNull()), None).otherwise(F.max("_high"))
     whole = parts.groupBy(*keys, "_part").agg(low.alias("_low"), high.alias("_high"))
     one = F.struct(F.col("_low").alias("lower"), F.col("_high").alias("upper"), F.col("_low").isNotNull().alias("lower_inc"), F.lit(False).alias("upper_inc"), F.lit(False).alias("empty"))
-    sets = whole.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_part", one.alias("r")))), lambda x: x["r"]).alias(name))
+    return whole.select(*keys, "_part", one.alias(name))
+
+
+def range_agg(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """keys and the multirange that the ranges of each group cover, as one value (see range_parts)."""
+    sets = range_parts(df, keys, value, "_r").groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_part", F.col("_r").alias("r")))), lambda x: x["r"]).alias(name))
     return df.select(*keys).distinct().join(sets, keys, "left")
 
 

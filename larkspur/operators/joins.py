@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions import ranges
+
 
 def using(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """JOIN ... USING: one column for each key, from the side that has it."""
@@ -61,6 +63,31 @@ def in_range(points: DataFrame, spans: DataFrame, point: str, low: str, high: st
     return p.join(s, [*by, "_b"]).filter((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_b")
 
 
+def in_parts(points: DataFrame, parts: DataFrame, keys: list[str], point: str, part: str, cuts: int = 64) -> DataFrame:
+    """points whose value lies in a range of their keys; parts hold ranges apart from each other, a row for each (see aggregates.range_parts).
+
+    Only the last range that begins at or before a point can hold it.  Both sides are cut at `cuts` quantiles of
+    the points, ranges that reach over a cut stand on both sides, and within keys and cuts one sorted pass finds
+    that range: no pairs, and the rows are the points, the ranges and at most `cuts` more for each key.
+    Equal points are one until they are decided.
+    """
+    r, x = F.col(part), F.col(point)
+    known = points.filter(x.isNotNull())
+    distinct = known.select(*keys, x.alias("_x")).distinct()
+    edges = F.broadcast(distinct.agg(F.array_distinct(F.approx_percentile("_x", [i / cuts for i in range(1, cuts)])).alias("_cuts")))  # one row
+    place = lambda v: F.size(F.filter("_cuts", lambda c: c <= v))
+    p = distinct.crossJoin(edges).select(*keys, place(F.col("_x")).alias("_cut"), F.col("_x").alias("_t"), F.lit(1).alias("_side"), F.lit(None).alias("_r"))
+    reach = F.sequence(F.when(r["lower"].isNull(), 0).otherwise(place(r["lower"])), F.when(r["upper"].isNull(), F.size("_cuts")).otherwise(place(r["upper"])))
+    s = parts.filter(~r["empty"]).crossJoin(edges).select(*keys, F.explode(reach).alias("_cut"), r["lower"].alias("_t"), F.lit(0).alias("_side"), r.alias("_r"))
+    w = Window.partitionBy(*keys, "_cut").orderBy(F.col("_t").asc_nulls_first(), "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = p.unionByName(s).withColumn("_r", F.last("_r", ignorenulls=True).over(w)).filter(F.col("_side") == 1)
+    held = found.filter(F.col("_r").isNotNull() & ranges.has(F.col("_r"), F.col("_t"))).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_t").alias("_x"))
+    same = x == F.col("_x")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return known.join(held, same, "left_semi")
+
+
 def salted(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame, salts: int = 16, how: str = "inner") -> DataFrame:
     """An equi-join whose hot keys are spread over `salts` partitions.
 

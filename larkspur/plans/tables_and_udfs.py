@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import FUNCTIONS as f
 from larkspur.functions import ranges
-from larkspur.operators import aggregates, recursion
+from larkspur.operators import aggregates, joins, recursion
 from larkspur.session import table as t
 from larkspur.sources import tables
 from larkspur.streaming import events as streams
@@ -141,9 +141,9 @@ def generate_subscripts(spark, d):
 @query("SELECT o_custkey % 7 AS k, count(*) AS n FROM orders GROUP BY 1")
 def multirange_contains(spark, d):
     """Every customer number lies in the multirange of its own numbers."""
-    o = t(spark, d, "orders").withColumn("k", F.col("o_custkey") % 7)
-    spans = aggregates.range_agg(o.withColumn("r", ranges.discrete("bigint")(F.col("o_custkey"), F.col("o_custkey"), "[]")), ["k"], "r", "m")
-    return o.join(spans, "k").filter(ranges.multi_has(F.col("m"), F.col("o_custkey"))).groupBy("k").agg(F.count("*").alias("n"))
+    o = t(spark, d, "orders").select("o_custkey", (F.col("o_custkey") % 7).alias("k"))
+    parts = aggregates.range_parts(o.withColumn("r", ranges.discrete("bigint")(F.col("o_custkey"), F.col("o_custkey"), "[]")), ["k"], "r", "m")
+    return joins.in_parts(o, parts, ["k"], "o_custkey", "m").groupBy("k").agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY 1")

@@ -2,11 +2,12 @@
 
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from larkspur import plans
 from larkspur.functions import FUNCTIONS as f
+from larkspur.functions import ranges
+from larkspur.operators import aggregates, joins
 
 
 def optimized(df) -> str:
@@ -29,3 +30,16 @@ def test_text_vectors_stay_in_python(spark, sf_dir):
     assert sorted(bound.collect()) == sorted(columns.collect())
     assert {r.i: r.m for r in bound.collect()} == {1: True, 2: None, 3: False, 4: False}
     assert df.select(f["ts_match"](v, None).alias("m")).distinct().collect() == [(None,)]
+
+
+def test_points_in_parts_equal_brute_force(spark, sf_dir):
+    """Ranges are rows that a sorted pass meets: no row carries a group's whole multirange."""
+    make = ranges.discrete("bigint")
+    spans = [(k, lo, hi) for k in (0, None) for lo, hi in ((None, 2), (5, 9), (7, 12), (20, 21), (30, None))] + [(1, 3, 3), (1, 4, 6), (2, None, None)]
+    df = spark.createDataFrame(spans, "k int, lo long, hi long").withColumn("r", make(F.col("lo"), F.col("hi")))
+    points = [(k, x, i) for k in (0, 1, 2, 3, None) for x in (*range(-3, 40), None) for i in range(2)]
+    inside = lambda k, x: x is not None and any(a == k and (lo is None or lo <= x) and (hi is None or x < hi) for a, lo, hi in spans)
+    for cuts in (2, 5, 64):
+        out = joins.in_parts(spark.createDataFrame(points, "k int, x long, i int"), aggregates.range_parts(df, ["k"], "r", "m"), ["k"], "x", "m", cuts)
+        assert sorted(map(str, map(tuple, out.collect()))) == sorted(str(p) for p in points if inside(*p[:2]))
+    assert "exists(" not in optimized(plans.QUERIES["multirange_contains"](spark, sf_dir))
