@@ -5,6 +5,7 @@ Each builder takes a streaming (or batch) DataFrame with a column ts; `run` driv
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from larkspur.session import shared_root
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -55,16 +58,41 @@ def running_totals(df: DataFrame) -> DataFrame:
 
 
 def run(df: DataFrame, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """Drive a streaming query to the end of its input; its rows as a batch DataFrame."""
-    name = f"stream_{uuid.uuid4().hex}"
-    writer = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
-    query.awaitTermination()
+    """Drive a streaming query to the end of its input; its rows as a batch DataFrame.
+
+    Executors write each batch to the shared folder, so no rows pass through the driver; "complete" gives
+    the last batch, "update" and "append" give all.  State is held in RocksDB, which spills to disk, and not
+    in the heap of the executors.
+    """
+    spark = df.sparkSession
+    root = f"{shared_root(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    last = [-1]
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
+        last[0] = max(last[0], number)
+
+    with _state_on_disk(spark):
+        query = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint or f"{root}/progress").trigger(availableNow=True).start()
+        query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
-    return df.sparkSession.table(name)
+    if last[0] < 0:
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(f"{root}/rows/batch={last[0]}" if mode == "complete" else f"{root}/rows/batch=*")
+
+
+@contextlib.contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """While a stream starts and runs, RocksDB holds its state, unless the session names a store of its own."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    own = spark.conf.get(key)
+    if own.endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set(key, own.replace("HDFSBackedStateStoreProvider", "RocksDBStateStoreProvider"))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
 
 
 def maintain(df: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> None:

@@ -43,3 +43,11 @@ def test_points_in_parts_equal_brute_force(spark, sf_dir):
         out = joins.in_parts(spark.createDataFrame(points, "k int, x long, i int"), aggregates.range_parts(df, ["k"], "r", "m"), ["k"], "x", "m", cuts)
         assert sorted(map(str, map(tuple, out.collect()))) == sorted(str(p) for p in points if inside(*p[:2]))
     assert "exists(" not in optimized(plans.QUERIES["multirange_contains"](spark, sf_dir))
+
+
+def test_streams_write_from_the_executors(spark, sf_dir):
+    """A stream's rows are files of the executors, in all modes, and not a table in the driver's memory."""
+    for name in ("stream_sessions", "stream_stateful", "stream_deduplicated"):
+        plan = optimized(plans.QUERIES[name](spark, sf_dir))
+        assert "parquet" in plan and "MemoryPlan" not in plan
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
