@@ -1,21 +1,106 @@
-"""Window frames that Spark has no syntax for: GROUPS, and EXCLUDE."""
+"""Window frames that Spark has no syntax for, GROUPS and EXCLUDE, and ranks of few, large partitions."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.session import shared_root
 
-def groups(df: DataFrame, partition: list[str], order: list[Column], start: int, end: int, aggregates: dict[str, Callable[[], Column]]) -> DataFrame:
+
+#: Peer groups that one task may number and that may be broadcast.
+FEW = 100_000
+
+
+def _peers(df: DataFrame, partition: list[str], order: list[tuple[Column, bool]], partials: dict[str, Column]) -> tuple[DataFrame, DataFrame, bool]:
+    """df with the values of its order as _o0, _o1...; a row for each peer group, with _n rows, _before it and _total of its
+    partition, its _number and the partials; whether these are few.
+
+    Rows are counted by group before anything is sorted, so a task holds groups and not rows.  More groups than
+    FEW are written by ranges of their order; within a range they are numbered, and the ranges' sums are put before.
+    """
+    keyed = df.withColumns({f"_o{i}": e for i, (e, _) in enumerate(order)})
+    names = [f"_o{i}" for i in range(len(order))]
+    by = [F.col(n).desc_nulls_last() if down else F.col(n).asc_nulls_last() for n, (_, down) in zip(names, order, strict=True)]
+    peers = keyed.groupBy(*partition, *names).agg(F.count("*").alias("_n"), *[c.alias(n) for n, c in partials.items()])
+    few = peers.limit(FEW + 1).count() <= FEW
+    spark, first = df.sparkSession, Window.unboundedPreceding
+    if few:
+        w = Window.partitionBy(*partition).orderBy(*by)
+        sums = {"_before": F.coalesce(F.sum("_n").over(w.rowsBetween(first, -1)), F.lit(0)), "_number": F.row_number().over(w).cast("long"), "_total": F.sum("_n").over(Window.partitionBy(*partition))}
+        return keyed, peers.withColumns(sums), few
+    path = f"{shared_root(spark).rstrip('/')}/peers-{uuid.uuid4().hex}"
+    peers.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *map(F.col, partition), *by).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    over = Window.partitionBy(*partition).orderBy("_range").rowsBetween(first, -1)
+    sums = ranged.groupBy(*partition, "_range").agg(F.sum("_n").alias("_rows"), F.count("*").alias("_groups"))
+    sums = sums.withColumns({"_rows_before": F.coalesce(F.sum("_rows").over(over), F.lit(0)), "_groups_before": F.coalesce(F.sum("_groups").over(over), F.lit(0)), "_total": F.sum("_rows").over(Window.partitionBy(*partition))})
+    w = Window.partitionBy(*partition, "_range").orderBy(*by)
+    inside = ranged.withColumns({"_before": F.coalesce(F.sum("_n").over(w.rowsBetween(first, -1)), F.lit(0)), "_number": F.row_number().over(w).cast("long")})
+    both = _looked_up(inside, sums, [*partition, "_range"], ["_rows_before", "_groups_before", "_total"])
+    return keyed, both.withColumns({"_before": F.col("_before") + F.col("_rows_before"), "_number": F.col("_number") + F.col("_groups_before")}).drop("_range", "_rows_before", "_groups_before"), few
+
+
+def _looked_up(df: DataFrame, other: DataFrame, keys: list[str], columns: list[str], broadcast: bool = False) -> DataFrame:
+    """df with columns of other's row of the same keys, nulls being equal."""
+    o = other.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *columns)
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(F.broadcast(o) if broadcast else o, same).select(*df.columns, *columns)
+
+
+_RANKS = {
+    "rank": lambda before, n, number, total: before + 1,
+    "dense_rank": lambda before, n, number, total: number,
+    "percent_rank": lambda before, n, number, total: F.when(total > 1, before / (total - 1)).otherwise(0.0),
+    "cume_dist": lambda before, n, number, total: (before + n) / total,
+    "rows_to": lambda before, n, number, total: before + n,
+    "rows_after": lambda before, n, number, total: total - before - n,
+}
+
+
+def ranks(df: DataFrame, partition: list[str], order: list[tuple[Column, bool]], names: dict[str, str]) -> DataFrame:
+    """df and by name rank, dense_rank, percent_rank, cume_dist, rows_to (count(*) over the default frame) or rows_after it.
+
+    order: values, and whether they go down; nulls are last.  All of these are the same for peers, so they are
+    reckoned by peer group and looked up by the rows, which are not sorted.
+    """
+    keyed, peers, few = _peers(df, partition, order, {})
+    found = peers.withColumns({name: _RANKS[kind](F.col("_before"), F.col("_n"), F.col("_number"), F.col("_total")) for name, kind in names.items()})
+    own = [f"_o{i}" for i in range(len(order))]
+    return _looked_up(keyed, found, [*partition, *own], list(names), few).drop(*own)
+
+
+def groups(df: DataFrame, partition: list[str], order: list[tuple[Column, bool]], start: int, end: int, aggregates: dict[str, tuple[str, Column]]) -> DataFrame:
     """Aggregates over GROUPS BETWEEN start AND end (offsets of peer groups; Window.unbounded... for none).
 
-    Peer groups are numbered by dense_rank; a RANGE frame over the numbers is a frame of groups.
+    order as in ranks; aggregates: name -> (sum, count, min or max, value).  Each peer group is aggregated once,
+    a RANGE frame over the groups' numbers puts groups together, and rows look their group's result up.  Of more
+    groups than FEW, each goes to the frames it is in; a frame without bounds has them sorted by one task a partition.
     """
-    ranked = df.withColumn("_group", F.dense_rank().over(Window.partitionBy(*partition).orderBy(*order)))
-    w = Window.partitionBy(*partition).orderBy("_group").rangeBetween(start, end)
-    return ranked.select("*", *[make().over(w).alias(name) for name, make in aggregates.items()]).drop("_group")
+    make = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
+    keyed, peers, few = _peers(df, partition, order, {f"_p_{name}": make[kind](value) for name, (kind, value) in aggregates.items()})
+    types = {name: peers.schema[f"_p_{name}"].dataType for name in aggregates}
+
+    def together(name: str, over=None) -> Column:
+        kind = aggregates[name][0]
+        found = make["sum" if kind == "count" else kind](f"_p_{name}")
+        found = (found if over is None else found.over(over)).cast(types[name])
+        return F.coalesce(found, F.lit(0)).alias(name) if kind == "count" else found.alias(name)
+
+    own = [f"_o{i}" for i in range(len(order))]
+    if few or start == Window.unboundedPreceding or end == Window.unboundedFollowing:
+        w = Window.partitionBy(*partition).orderBy("_number").rangeBetween(start, end)
+        found = peers.select(*partition, *own, *[together(name, w) for name in aggregates])
+    else:
+        sent = peers.withColumn("_number", F.explode(F.sequence(F.col("_number") - end, F.col("_number") - start)))
+        none = peers.select(*partition, "_number", *[F.lit(None).cast(types[name]).alias(f"_p_{name}") for name in aggregates])
+        frames = sent.select(none.columns).unionByName(none).groupBy(*partition, "_number").agg(*[together(name) for name in aggregates])
+        found = _looked_up(peers, frames, [*partition, "_number"], list(aggregates))
+    return _looked_up(keyed, found, [*partition, *own], list(aggregates), few).drop(*own)
 
 
 def _add(a: Column, b: Column) -> Column:

@@ -107,7 +107,30 @@ _GROUPS_SQL = "SELECT l_orderkey, l_linenumber, count(*) OVER w AS n, round(sum(
 @query(_GROUPS_SQL)
 def win_groups_frame(spark, d):
     df = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
-    return frames.groups(df, ["l_returnflag"], [F.col("l_quantity").asc_nulls_last()], -1, 1, {"n": lambda: F.count("*"), "s": lambda: F.sum("l_quantity")}).select("l_orderkey", "l_linenumber", "n", F.round("s", 2).alias("s"))
+    return frames.groups(df, ["l_returnflag"], [(F.col("l_quantity"), False)], -1, 1, {"n": ("count", F.lit(1)), "s": ("sum", F.col("l_quantity"))}).select("l_orderkey", "l_linenumber", "n", F.round("s", 2).alias("s"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(rank() OVER w AS BIGINT) AS rk, CAST(dense_rank() OVER w AS BIGINT) AS dr, round(percent_rank() OVER w, 9) AS pr, round(cume_dist() OVER w, 9) AS cd FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_quantity)")
+def win_ranking_ties(spark, d):
+    df = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    out = frames.ranks(df, ["l_returnflag"], [(F.col("l_quantity"), False)], {"rk": "rank", "dr": "dense_rank", "pr": "percent_rank", "cd": "cume_dist"})
+    return out.select("l_orderkey", "l_linenumber", "rk", "dr", F.round("pr", 9).alias("pr"), F.round("cd", 9).alias("cd"))
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_returnflag ORDER BY l_quantity) AS n FROM lineitem")
+def win_default_frame_ties(spark, d):
+    df = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    return frames.ranks(df, ["l_returnflag"], [(F.col("l_quantity"), False)], {"n": "rows_to"}).select("l_orderkey", "l_linenumber", "n")
+
+
+@query("SELECT count(*) AS n, sum(a.s_suppkey) AS s FROM supplier a JOIN supplier b ON a.s_acctbal < b.s_acctbal AND a.s_nationkey <> b.s_nationkey")
+def join_theta(spark, d):
+    """Of each row's pairs only their number is asked: all rows beyond it, less those of its own nation."""
+    s = t(spark, d, "supplier").filter("s_acctbal IS NOT NULL AND s_nationkey IS NOT NULL").select("s_suppkey", "s_nationkey", "s_acctbal")
+    s = frames.ranks(s, [], [(F.col("s_acctbal"), False)], {"_beyond": "rows_after"})
+    s = frames.ranks(s, ["s_nationkey"], [(F.col("s_acctbal"), False)], {"_own": "rows_after"})
+    pairs = F.col("_beyond") - F.col("_own")
+    return s.agg(F.coalesce(F.sum(pairs), F.lit(0)).alias("n"), F.sum(F.when(pairs > 0, F.col("s_suppkey") * pairs)).alias("s"))
 
 
 _OVER_FRAME = {"s": "sum", "n": "count", "low": "min", "high": "max", "mean": "avg"}

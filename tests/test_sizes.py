@@ -2,12 +2,14 @@
 
 import re
 
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larkspur import plans
 from larkspur.functions import FUNCTIONS as f
 from larkspur.functions import ranges
-from larkspur.operators import aggregates, joins
+from larkspur.operators import aggregates, frames, joins
 
 
 def optimized(df) -> str:
@@ -51,3 +53,42 @@ def test_streams_write_from_the_executors(spark, sf_dir):
         plan = optimized(plans.QUERIES[name](spark, sf_dir))
         assert "parquet" in plan and "MemoryPlan" not in plan
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+ROWS = [(g, x, i) for g in ("a", None) for i, x in enumerate([1.0, 1.0, 0.0, -0.0, None, None, float("nan"), 7.0, 3.0, 3.0, 3.0])] + [("one", 5.0, 0)]
+
+
+@pytest.mark.parametrize("few", [100_000, 3])
+def test_ranks_by_peer_groups(spark, monkeypatch, few):
+    """As windows over the rows give them, whether one task numbers the groups or ranges of them are put together."""
+    monkeypatch.setattr(frames, "FEW", few)
+    df = spark.createDataFrame(ROWS, "g string, x double, i int")
+    for partition in ([], ["g"]):
+        for down in (False, True):
+            w = Window.partitionBy(*partition).orderBy(F.col("x").desc_nulls_last() if down else F.col("x").asc_nulls_last())
+            after = F.count("*").over(Window.partitionBy(*partition)) - F.count("*").over(w)
+            kinds = {"rank": F.rank().over(w), "dense_rank": F.dense_rank().over(w), "percent_rank": F.percent_rank().over(w), "cume_dist": F.cume_dist().over(w), "rows_to": F.count("*").over(w), "rows_after": after}
+            out = frames.ranks(df, partition, [(F.col("x"), down)], {k: k for k in kinds})
+            assert sorted(map(str, out.collect())) == sorted(map(str, df.select("*", *[c.alias(k) for k, c in kinds.items()]).collect()))
+
+
+@pytest.mark.parametrize("few", [100_000, 3])
+def test_groups_by_peer_groups(spark, monkeypatch, few):
+    monkeypatch.setattr(frames, "FEW", few)
+    df = spark.createDataFrame(ROWS, "g string, x double, i int")
+    for start, end in ((-1, 1), (1, 2), (-3, -2), (Window.unboundedPreceding, 0)):
+        out = frames.groups(df, ["g"], [(F.col("x"), False)], start, end, {"n": ("count", F.col("x")), "s": ("sum", F.col("i")), "low": ("min", F.col("i"))})
+        ranked = df.withColumn("_d", F.dense_rank().over(Window.partitionBy("g").orderBy(F.col("x").asc_nulls_last())))
+        w = Window.partitionBy("g").orderBy("_d").rangeBetween(start, end)
+        plain = ranked.select("g", "x", "i", F.count("x").over(w).alias("n"), F.sum("i").over(w).alias("s"), F.min("i").over(w).alias("low"))
+        assert sorted(map(str, out.collect())) == sorted(map(str, plain.collect()))
+
+
+@pytest.mark.parametrize("name, table", [("win_groups_frame", "lineitem"), ("win_ranking_ties", "lineitem"), ("win_default_frame_ties", "lineitem"), ("join_theta", "supplier")])
+def test_windows_read_groups_and_not_rows(spark, sf_dir, name, table):
+    """Every window stands above an aggregation, and no join is without keys."""
+    plan = optimized(plans.QUERIES[name](spark, sf_dir))
+    lines = [line for line in plan.splitlines() if re.search(r"[-:|+ ]*(Window|Aggregate|Relation|Join)\b", line)]
+    for i, line in enumerate(lines):
+        assert "Window" not in line or "Aggregate" in next(x for x in lines[i + 1 :] if "Window" not in x)
+    assert "<" not in re.sub(r"<=>|<[a-z_:,]*>", "", " ".join(x for x in lines if "Join" in x))
