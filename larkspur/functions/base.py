@@ -54,6 +54,25 @@ def python(returns: str, strict: bool = True, bind: bool = False) -> Callable[[C
     return decorate
 
 
+#: Results of a costly function that a task keeps: columns repeat their values.
+KNOWN = 10_000
+
+
+def kept(f: Callable) -> Callable:
+    """f of values that can be keys, which keeps its results; equal arguments must give equal results."""
+    known: dict = {}
+
+    @wraps(f)
+    def look(*args):
+        if args not in known:
+            if len(known) >= KNOWN:
+                known.clear()
+            known[args] = f(*args)
+        return known[args]
+
+    return look
+
+
 def _bound(f: Callable, fixed: tuple) -> Callable:
     """f of the arguments that are not fixed as (place, type, value)."""
 

@@ -7,7 +7,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from .base import col, cols, null_if_any, python
+from .base import col, cols, kept, null_if_any, python
 
 
 def trunc(x, digits: int = 0):
@@ -48,6 +48,7 @@ def lcm(a, b):
 
 
 @python("decimal(38,0)")
+@kept
 def factorial(n):
     if n < 0:
         raise ValueError("factorial of a negative number is undefined")
@@ -89,34 +90,56 @@ def width_bucket(x, low, high=None, count=None):
 
 
 @python("int")
+@kept
 def scale(x):
     return max(0, -decimal.Decimal(str(x)).as_tuple().exponent)
 
 
 @python("int")
+@kept
 def min_scale(x):
     return max(0, -decimal.Decimal(str(x)).normalize().as_tuple().exponent)
 
 
 @python("string")
+@kept
 def trim_scale(x):
     return format(decimal.Decimal(str(x)).normalize(), "f")
 
 
 @python("bigint")
 def crc32c(data):
-    """The Castagnoli checksum, bit by bit (reflected polynomial 0x82F63B78)."""
+    """The Castagnoli checksum (reflected polynomial 0x82F63B78)."""
+    return _crc32c(data.encode() if isinstance(data, str) else bytes(data))
+
+
+def _crc_of_byte(crc: int) -> int:
+    for _ in range(8):
+        crc = (crc >> 1) ^ (0x82F63B78 & -(crc & 1))
+    return crc
+
+
+_CRC = tuple(map(_crc_of_byte, range(256)))
+
+
+def _crc32c_of(data: bytes) -> int:
     crc = 0xFFFFFFFF
-    for byte in data.encode() if isinstance(data, str) else bytes(data):
-        crc ^= byte
-        for _ in range(8):
-            crc = (crc >> 1) ^ (0x82F63B78 & -(crc & 1))
+    for byte in data:
+        crc = (crc >> 8) ^ _CRC[(crc ^ byte) & 255]
     return crc ^ 0xFFFFFFFF
 
 
+_crc32c_short = kept(_crc32c_of)
+
+
+def _crc32c(data: bytes) -> int:
+    return _crc32c_short(data) if len(data) <= 256 else _crc32c_of(data)
+
+
 def _decimal(f):
     """A function of decimal numbers to 30 digits, as text of 16 decimals cast to decimal."""
 
+    @kept
     def value(*args):
         with decimal.localcontext() as context:
             context.prec = 40

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from larkspur import plans
 from larkspur.functions import FUNCTIONS as f
-from larkspur.functions import ranges
+from larkspur.functions import maths, ranges
 from larkspur.operators import aggregates, frames, joins
 
 
@@ -92,3 +92,16 @@ def test_windows_read_groups_and_not_rows(spark, sf_dir, name, table):
     for i, line in enumerate(lines):
         assert "Window" not in line or "Aggregate" in next(x for x in lines[i + 1 :] if "Window" not in x)
     assert "<" not in re.sub(r"<=>|<[a-z_:,]*>", "", " ".join(x for x in lines if "Join" in x))
+
+
+def test_costly_numbers_are_reckoned_once_for_a_value(monkeypatch):
+    """Whatever repeats in a column is looked up; equal decimals of other scales still have their own scale."""
+    calls = []
+    monkeypatch.setattr(maths, "_crc32c_short", maths.kept(lambda data: calls.append(data) or maths._crc32c_of(data)))
+    assert [maths._crc32c(b"123456789") for _ in range(50)] == [3808858755] * 50 and len(calls) == 1
+    assert maths._crc32c(b"") == 0 and maths._crc32c(b"\x00" * 32) == 0x8A9136AA and maths._crc32c(b"\xff" * 1000) == maths._crc32c_of(b"\xff" * 1000)
+
+
+def test_scales_of_equal_numbers(spark):
+    df = spark.createDataFrame([("1.0",), ("1.00",), ("1",), (None,), ("1.0",)], "x string")
+    assert [tuple(r) for r in df.select(f["scale"](F.col("x")), f["min_scale"](F.col("x")), f["trim_scale"](F.col("x"))).collect()] == [(1, 0, "1"), (2, 0, "1"), (0, 0, "1"), (None, None, None), (1, 0, "1")]
